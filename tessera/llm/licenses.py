@@ -3,8 +3,10 @@
 A text's segments are itself whole, its paragraphs (between blank lines) and its lines.  Texts and
 templates are normalised alike: lower case, and everything but a-z and 0-9 separates words.  A
 segment with A distinct bigrams and a template with B can only reach LEAST if
-LEAST * B / (2 - LEAST) <= A <= (2 - LEAST) * B / LEAST; segments outside these bounds for all templates,
-or without any template's bigram, are dropped before anything is joined, and bigrams only meet
+LEAST * B / (2 - LEAST) <= A <= (2 - LEAST) * B / LEAST, and then shares at least LEAST * B / (2 - LEAST)
+bigrams.  So a text must hold one of the words that all but fewer of each template's bigrams contain
+(``anchors``), and a segment a template's bigram with such a word; others are dropped.  So are segments
+outside the size bounds of all templates, before anything is joined, and bigrams only meet
 templates whose bounds hold.  All of it is DataFrame functions.  Templates are a parameter; what they
 hold, at most MOST_BIGRAMS bigrams, is a constant table, so broadcasting it is bounded.
 
@@ -15,6 +17,8 @@ texts), null ids too.  Equal scores go to the smaller licence id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +86,24 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]], least:
     return out
 
 
+def anchors(held: list[tuple[int, str, list[str]]], least: float) -> list[str]:
+    """Words, long ones first, such that nothing reaches ``least`` with a template and has none of them:
+    fewer of the template's bigrams are without them than must be shared."""
+    chosen: set[str] = set()
+    for *_, bigrams in held:
+        spare = math.ceil(least * len(bigrams) / (2 - least) - 1e-9) - 1
+        for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
+            if sum(not chosen.intersection(b.split()) for b in bigrams) <= spare:
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
+def _once(value: Column) -> Column:
+    """As a generator's output a value is computed once, however many filters and columns above read it."""
+    return F.explode(F.array(value))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, license, dice, licenses, n_matches.
 
@@ -92,10 +114,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     held = template_table(spark, templates or TEMPLATES, least)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     few, many = min(len(b) for *_, b in held) * least / (2 - least), max(len(b) for *_, b in held) * (2 - least) / least
-    known = sorted({b for *_, bigrams in held for b in bigrams})
-    normal = docs.select("doc_id", _normal(F.col("text")).alias("normal"))
+    named = anchors(held, least)
+    known = sorted({b for *_, bigrams in held for b in bigrams if set(named).intersection(b.split())})
+    normal = docs.where(F.col("text").isNotNull()).select("doc_id", _once(_normal(F.col("text"))).alias("normal"))
+    normal = normal.where(F.exists(F.split(F.translate("normal", "\n", " "), " "), lambda w: w.isin(named)))
     segments = normal.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("normal"), F.split("normal", "\\n *\\n[ \\n]*"), F.split("normal", "\\n")))).alias("segment"))
-    bigrams = segments.select("doc_id", _bigrams(F.col("segment")).alias("bigrams")).where(F.size("bigrams").between(few, many))
+    bigrams = segments.select("doc_id", _once(_bigrams(F.col("segment"))).alias("bigrams")).where(F.size("bigrams").between(few, many))
     bigrams = bigrams.where(F.exists("bigrams", lambda b: b.isin(known))).withColumn("segment", F.concat_ws("\n", "bigrams"))
     single = bigrams.groupBy("doc_id", "segment").agg(F.first("bigrams").alias("bigrams"))
     table_ = spark.createDataFrame([(k, name, b, len(bs)) for k, name, bs in held for b in bs], "template int, license string, bigram string, held int")
