@@ -10,8 +10,9 @@ Documents are sets of distinct word n-grams; two link when PERCENT of their unio
    near copies this already joins nearly all with one test each.
 4. Pairs of a run that are still in different components are tested by length, position and suffix
    (per range of hashes, the sizes of what two sets hold bound what they can share) inside the
-   run, then verified once per pair by their whole sets.  No pair that could change a
-   component is left out; a run above RUN_ROWS is dealt as pairs of blocks.
+   run.  First only the pair of each node that comes closest by suffix is verified, and its links
+   united; then every pair still between components is, once, by the whole sets.  No pair that could
+   change a component is left out; a run above RUN_ROWS is dealt as pairs of blocks.
 Components of links, not links, are the result, so pairs inside a component need no test.
 
 A null or wordless text has no set and links with nothing; fewer words than n make one n-gram.
@@ -35,7 +36,7 @@ from tessera.llm.shingles import shingles
 SIZE, PERCENT = 4, 85
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: Ranges of hashes whose sizes the suffix filter compares.
-RANGES = 32
+RANGES = 64
 #: Rows of a run above which it is dealt in blocks of half as many.
 RUN_ROWS = 20_000
 #: Nodes up to which a list of them is broadcast (16 bytes each); above, it is shuffled.
@@ -223,8 +224,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(run, "hub long, key long")
 
 
-def _crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a run in different components that pass the length, positional and suffix filters."""
+def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs of a run in different components that pass the length, positional and suffix filters;
+    ``closest``: of each node, only the one whose ranges differ least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, seen = None, set()
@@ -233,6 +235,7 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
             n, pos = place >> 32, place & 0xFFFFFFFF
             indexed = n - -(-2 * percent * n // (100 + percent)) + 1  # the prefix of a set among larger ones
             at, step, a, b = np.arange(len(gram)), 0, [], []
+            best = np.full(len(gram), np.iinfo(np.int64).max)
             while True:
                 step += 1
                 at = at[at + step < len(gram)]
@@ -252,8 +255,17 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
                     p, q = x[k:k + 50_000], y[k:k + 50_000]
                     apart = np.abs(suffix[p].astype(np.int16) - suffix[q]).sum(axis=1)
                     ok = apart <= n[p] + n[q] - 2 * shared[k:k + 50_000]
-                    a.append(key[p[ok]])
-                    b.append(key[q[ok]])
+                    if closest:
+                        np.minimum.at(best, p[ok], (apart[ok].astype(np.int64) << 32) + q[ok])
+                        np.minimum.at(best, q[ok], (apart[ok].astype(np.int64) << 32) + p[ok])
+                    else:
+                        a.append(key[p[ok]])
+                        b.append(key[q[ok]])
+            if closest:
+                at = np.flatnonzero(best < np.iinfo(np.int64).max)
+                if not len(at):
+                    return None
+                return pa.RecordBatch.from_arrays([pa.array(key[best[at] & 0xFFFFFFFF]), pa.array(key[at]), pa.array(best[at] >> 32)], names=["hub", "key", "apart"])
             if not a:
                 return None
             found = {(min(p, q), max(p, q)) for p, q in zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())} - seen
@@ -261,7 +273,7 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
                 seen.clear()
             seen.update(found)
             one, two = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(one, type=pa.int64()), pa.array(two, type=pa.int64())], names=["hub", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(one, type=pa.int64()), pa.array(two, type=pa.int64()), pa.nulls(len(one)).cast(pa.int64())], names=["hub", "key", "apart"])
 
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
@@ -275,7 +287,18 @@ def _crossing(rows: DataFrame, percent: int) -> DataFrame:
         if carry is not None and (out := pairs(*carry)) is not None:
             yield out
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "place", "key").mapInArrow(run, "hub long, key long").distinct()
+    found = rows.repartition("gram").sortWithinPartitions("gram", "place", "key").mapInArrow(run, "hub long, key long, apart long")
+    if closest:
+        return found.groupBy("key").agg(F.min(F.struct("apart", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
+    return found.select("hub", "key").distinct()
+
+
+def _united(parts: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, part) after the links: only links between parts, once per pair of parts, are followed."""
+    one, two = (parts.select(F.col("key").alias(k), F.col("part").alias(p)) for k, p in (("hub", "a"), ("key", "b")))
+    between = links.join(one, "hub").join(two, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    moved = components(between, "a", "b", scratch, name).withColumnRenamed("node", "part")
+    return scratch.write(parts.join(moved, "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all")
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -305,12 +328,14 @@ def cluster(docs: DataFrame, scratch: Scratch, size: int = SIZE, percent: int =
     star = live.where("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("c"))
     star = star.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
     links = scratch.write(_verified(scratch.write(star, "star"), sets, percent), "links")
-    part = components(links, "hub", "key", scratch, "first")
-    parts = nodes.join(part.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("part"))
-    known = scratch.write(sets.select("key", "suffix").join(parts, "key"), "known")
-    rows = live.select("gram", "place", "key").join(known, "key").select("gram", "place", "key", "part", "suffix")
-    more = scratch.write(_verified(scratch.write(_crossing(_in_blocks(rows), percent), "crossing"), sets, percent), "more")
-    found = components(links.union(more), "hub", "key", scratch, "last").withColumnRenamed("node", "key")
+    parts = _united(nodes.withColumn("part", F.col("key")), links, scratch, "star-parts")
+    suffixes = sets.select("key", "suffix").dropDuplicates(["key"])
+    for name, closest in (("closest", True), ("every", False)):
+        known = scratch.write(suffixes.join(parts, "key"), f"{name}-known")
+        rows = live.select("gram", "place", "key").join(known, "key").select("gram", "place", "key", "part", "suffix")
+        pairs = scratch.write(_crossing(_in_blocks(rows), percent, closest), f"{name}-pairs")
+        parts = _united(parts, scratch.write(_verified(pairs, sets, percent), f"{name}-links"), scratch, f"{name}-parts")
+    found = parts.withColumnRenamed("part", "component")
     named = first.join(found, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "component").select("key", "component_id")
