@@ -44,7 +44,7 @@ BROADCAST_ROWS = 400_000
 #: Rows of an Arrow batch: of texts, sets or prefix n-grams.
 BATCH_ROWS = 500
 #: Members verified against a hub in one group.
-HUB_MEMBERS = 500
+HUB_MEMBERS = 50_000
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -196,10 +196,11 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (hub, key) pairs that link by their whole sets.  A group is a hub and some of its members."""
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("salts"))
-    spread = pairs.join(salts, "hub").select("hub", "key", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    hubs = salts.select(F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    """The (hub, key) pairs that link by their whole sets.  A group is a hub and some of its members,
+    about HUB_MEMBERS at most, even if all pairs have one hub; its task holds one set at a time."""
+    salts = -(-pairs.count() // HUB_MEMBERS) or 1
+    spread = pairs.select("hub", "key", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
+    hubs = spread.select(F.col("hub").alias("key"), "salt").distinct()
     held = sets.select("key", "grams")
     members = held.join(_few(spread), "key").select("hub", "salt", F.lit(1).alias("member"), "key", "grams")
     rows = members.union(held.join(_few(hubs), "key").select(F.col("key").alias("hub"), "salt", F.lit(0).alias("member"), "key", "grams"))
@@ -329,10 +330,11 @@ def cluster(docs: DataFrame, scratch: Scratch, size: int = SIZE, percent: int =
     star = star.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
     links = scratch.write(_verified(scratch.write(star, "star"), sets, percent), "links")
     parts = _united(nodes.withColumn("part", F.col("key")), links, scratch, "star-parts")
-    suffixes = sets.select("key", "suffix").dropDuplicates(["key"])
     for name, closest in (("closest", True), ("every", False)):
-        known = scratch.write(suffixes.join(parts, "key"), f"{name}-known")
-        rows = live.select("gram", "place", "key").join(known, "key").select("gram", "place", "key", "part", "suffix")
+        tagged = live.select("gram", "place", "key").join(_few(parts), "key")
+        mixed = tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("gram")
+        rows = tagged.join(_few(scratch.write(mixed, f"{name}-mixed")), "gram", "left_semi").join(sets.select("key", "suffix"), "key")
+        rows = rows.select("gram", "place", "key", "part", "suffix")
         pairs = scratch.write(_crossing(_in_blocks(rows), percent, closest), f"{name}-pairs")
         parts = _united(parts, scratch.write(_verified(pairs, sets, percent), f"{name}-links"), scratch, f"{name}-parts")
     found = parts.withColumnRenamed("part", "component")
