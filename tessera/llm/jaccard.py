@@ -13,6 +13,8 @@ Documents are sets of distinct word n-grams; two link when PERCENT of their unio
    run.  First only the pair of each node that comes closest by suffix is verified, and its links
    united; then every pair still between components is, once, by the whole sets.  No pair that could
    change a component is left out; a run above RUN_ROWS is dealt as pairs of blocks.
+Before whole sets are shuffled, a pair must pass the suffix filter again on finer ranges, whose
+number grows with the set (an outline has a thirty-second of the set's bytes).
 Components of links, not links, are the result, so pairs inside a component need no test.
 
 A null or wordless text has no set and links with nothing; fewer words than n make one n-gram.
@@ -22,7 +24,7 @@ Rows with one id count each by itself; a null id never names a component that ha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ SIZE, PERCENT = 4, 85
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: Ranges of hashes whose sizes the suffix filter compares.
 RANGES = 64
+#: Members of a set for each range of its outline, by which a pair is compared before whole sets are.
+OUTLINE = 4
 #: Rows of a run above which it is dealt in blocks of half as many.
 RUN_ROWS = 20_000
 #: Nodes up to which a list of them is broadcast (16 bytes each); above, it is shuffled.
@@ -176,18 +180,52 @@ def _live(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("gram").sortWithinPartitions("gram", "place", "key").mapInArrow(run, "gram long, place long, key long, hub long")
 
 
+def _outlines(docs: DataFrame, size: int) -> DataFrame:
+    """(key, n, suffix, body) of each row: the set's size in each of RANGES ranges of hashes, and in
+    about one range for OUTLINE members, each at most 255."""
+
+    def held(s: np.ndarray, bits: int) -> bytes:
+        return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = RANGES.bit_length() - 1
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
+            sets = [s for s in sets if len(s)]
+            wide = [held(s, max(least, (len(s) // OUTLINE).bit_length() - 1)) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([held(s, least) for s in sets], type=pa.binary()), pa.array(wide, type=pa.binary())], names=["key", "n", "suffix", "body"])
+
+    return docs.select("text").mapInArrow(run, "key long, n long, suffix binary, body binary")
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(key, n, suffix, grams) of each row; suffix has the set's size in each range of hashes, at most 255."""
+    """(key, n, body) of each row; body has the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - RANGES.bit_length() + 1)
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
             sets = [s for s in sets if len(s)]
-            held = [np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(held, type=pa.binary()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["key", "n", "suffix", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["key", "n", "body"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long, suffix binary, grams binary")
+    return docs.select("text").mapInArrow(run, "key long, n long, body binary")
+
+
+def _may_link(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
+    """By outlines, the finer one folded: what they hold apart bounds what two sets can share."""
+    a, b = (np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in (one, two))
+    if len(a) != len(b):
+        few = min(len(a), len(b))
+        a, b = (x.reshape(few, -1).sum(axis=1) for x in (a, b))
+    shared = -(-percent * (n + m) // (100 + percent))
+    return int(np.abs(a - b).sum()) <= n + m - 2 * shared
+
+
+def _do_link(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
+    """By whole sets."""
+    both = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in (one, two)])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -195,29 +233,24 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (hub, key) pairs that link by their whole sets.  A group is a hub and some of its members,
-    about HUB_MEMBERS at most, even if all pairs have one hub; its task holds one set at a time."""
+def _passing(pairs: DataFrame, bodies: DataFrame, percent: int, test: Callable[[int, bytes, int, bytes, int], bool]) -> DataFrame:
+    """The (hub, key) pairs whose bodies pass the test.  A group is a hub and some of its members,
+    about HUB_MEMBERS at most, even if all pairs have one hub; its task holds one batch at a time."""
     salts = -(-pairs.count() // HUB_MEMBERS) or 1
     spread = pairs.select("hub", "key", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
     hubs = spread.select(F.col("hub").alias("key"), "salt").distinct()
-    held = sets.select("key", "grams")
-    members = held.join(_few(spread), "key").select("hub", "salt", F.lit(1).alias("member"), "key", "grams")
-    rows = members.union(held.join(_few(hubs), "key").select(F.col("key").alias("hub"), "salt", F.lit(0).alias("member"), "key", "grams"))
+    held = bodies.select("key", "n", "body")
+    members = held.join(_few(spread), "key").select("hub", "salt", F.lit(1).alias("member"), "key", "n", "body")
+    rows = members.union(held.join(_few(hubs), "key").select(F.col("key").alias("hub"), "salt", F.lit(0).alias("member"), "key", "n", "body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.zeros(0, dtype=np.uint64)
+        hub, own_n, own = None, 0, b""
         for batch in batches:
             found = []
-            for h, member, key, grams in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
-                s = np.frombuffer(grams, dtype=np.uint64)
+            for h, member, key, n, body in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
                 if not member:
-                    hub, own = h, s
-                    continue
-                both = np.concatenate([own, s])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if h == hub and 100 * shared >= percent * (len(both) - shared):
+                    hub, own_n, own = h, n, body
+                elif h == hub and test(own_n, own, n, body, percent):
                     found.append((h, key))
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["hub", "key"])
@@ -225,6 +258,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(run, "hub long, key long")
 
 
+def _verified(pairs: DataFrame, outlines: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
+    """The (hub, key) pairs that link.  Outlines, a small part of the sets, are compared first; the
+    sets are made, written and shuffled only for what these leave."""
+    near = scratch.write(_passing(pairs, outlines, percent, _may_link), f"{name}-near")
+    nodes = near.select("key").union(near.select("hub")).distinct()
+    sets = scratch.write(_sets(texts_of(nodes, f"{name}-chosen"), size), f"{name}-sets")
+    links = scratch.write(_passing(near, sets, percent, _do_link), f"{name}-links")
+    scratch.drop(f"{name}-sets")
+    return links
+
+
 def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs of a run in different components that pass the length, positional and suffix filters;
     ``closest``: of each node, only the one whose ranges differ least."""
@@ -325,18 +369,22 @@ def cluster(docs: DataFrame, scratch: Scratch, size: int = SIZE, percent: int =
     sketch.unpersist()
     first = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     nodes = live.select("key").distinct()
-    sets = scratch.write(_sets_of(docs, info, nodes, scratch, size), "sets")
+
+    def texts_of(some: DataFrame, name: str) -> DataFrame:
+        return _texts_of(docs, info, some, scratch, name)
+
+    outlines = scratch.write(_outlines(texts_of(nodes, "chosen"), size), "outlines")
     star = live.where("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("c"))
     star = star.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
-    links = scratch.write(_verified(scratch.write(star, "star"), sets, percent), "links")
+    links = _verified(scratch.write(star, "star"), outlines, texts_of, scratch, "star", size, percent)
     parts = _united(nodes.withColumn("part", F.col("key")), links, scratch, "star-parts")
     for name, closest in (("closest", True), ("every", False)):
         tagged = live.select("gram", "place", "key").join(_few(parts), "key")
         mixed = tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("gram")
-        rows = tagged.join(_few(scratch.write(mixed, f"{name}-mixed")), "gram", "left_semi").join(sets.select("key", "suffix"), "key")
+        rows = tagged.join(_few(scratch.write(mixed, f"{name}-mixed")), "gram", "left_semi").join(outlines.select("key", "suffix"), "key")
         rows = rows.select("gram", "place", "key", "part", "suffix")
         pairs = scratch.write(_crossing(_in_blocks(rows), percent, closest), f"{name}-pairs")
-        parts = _united(parts, scratch.write(_verified(pairs, sets, percent), f"{name}-links"), scratch, f"{name}-parts")
+        parts = _united(parts, _verified(pairs, outlines, texts_of, scratch, name, size, percent), scratch, f"{name}-parts")
     found = parts.withColumnRenamed("part", "component")
     named = first.join(found, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -350,11 +398,11 @@ def _row_id(column: str) -> F.Column:
     return F.coalesce(column, F.lit(-(1 << 63)))
 
 
-def _sets_of(docs: DataFrame, info: DataFrame, nodes: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """The sets of the given nodes, each from a document of theirs."""
+def _texts_of(docs: DataFrame, info: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The texts of the given nodes, each from a document of theirs."""
     chosen = info.join(nodes, "key", "left_semi").groupBy("key").agg(F.min(_row_id("doc_id")).alias("id")).select("id").distinct()
-    chosen = scratch.write(chosen, "chosen")
-    return _sets(docs.withColumn("id", _row_id("doc_id")).join(_few(chosen), "id", "left_semi"), size)
+    chosen = scratch.write(chosen, name)
+    return docs.withColumn("id", _row_id("doc_id")).join(_few(chosen), "id", "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
