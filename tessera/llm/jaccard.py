@@ -11,8 +11,9 @@ Documents are sets of distinct word n-grams; two link when PERCENT of their unio
 4. Pairs of a run that are still in different components are tested by length, position and suffix
    (per range of hashes, the sizes of what two sets hold bound what they can share) inside the
    run.  First only the pair of each node that comes closest by suffix is verified, and its links
-   united; then every pair still between components is, once, by the whole sets.  No pair that could
-   change a component is left out; a run above RUN_ROWS is dealt as pairs of blocks.
+   united, again while this joins components; then every pair still between components is, once, by
+   the whole sets.  No pair that could change a component is left out; a run above RUN_ROWS is
+   dealt as pairs of blocks.
 Before whole sets are shuffled, a pair must pass the suffix filter again on finer ranges, whose
 number grows with the set (an outline has a thirty-second of the set's bytes).
 Components of links, not links, are the result, so pairs inside a component need no test.
@@ -47,6 +48,8 @@ RUN_ROWS = 20_000
 BROADCAST_ROWS = 400_000
 #: Rows of an Arrow batch: of texts, sets or prefix n-grams.
 BATCH_ROWS = 500
+#: Rounds of closest pairs at most; what they leave is for the last round, which takes every pair.
+CLOSEST_ROUNDS = 3
 #: Members verified against a hub in one group.
 HUB_MEMBERS = 50_000
 
@@ -338,12 +341,14 @@ def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
     return found.select("hub", "key").distinct()
 
 
-def _united(parts: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, part) after the links: only links between parts, once per pair of parts, are followed."""
+def _united(parts: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """(key, part) after the links, and if any joined two parts: only links between parts, once per pair of parts, are followed."""
     one, two = (parts.select(F.col("key").alias(k), F.col("part").alias(p)) for k, p in (("hub", "a"), ("key", "b")))
     between = links.join(one, "hub").join(two, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     moved = components(between, "a", "b", scratch, name).withColumnRenamed("node", "part")
-    return scratch.write(parts.join(moved, "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all")
+    if moved.limit(1).count() == 0:
+        return parts, False
+    return scratch.write(parts.join(moved, "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all"), True
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -377,14 +382,20 @@ def cluster(docs: DataFrame, scratch: Scratch, size: int = SIZE, percent: int =
     star = live.where("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("c"))
     star = star.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
     links = _verified(scratch.write(star, "star"), outlines, texts_of, scratch, "star", size, percent)
-    parts = _united(nodes.withColumn("part", F.col("key")), links, scratch, "star-parts")
-    for name, closest in (("closest", True), ("every", False)):
-        tagged = live.select("gram", "place", "key").join(_few(parts), "key")
-        mixed = tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("gram")
-        rows = tagged.join(_few(scratch.write(mixed, f"{name}-mixed")), "gram", "left_semi").join(outlines.select("key", "suffix"), "key")
-        rows = rows.select("gram", "place", "key", "part", "suffix")
-        pairs = scratch.write(_crossing(_in_blocks(rows), percent, closest), f"{name}-pairs")
-        parts = _united(parts, _verified(pairs, outlines, texts_of, scratch, name, size, percent), scratch, f"{name}-parts")
+    parts, _ = _united(nodes.withColumn("part", F.col("key")), links, scratch, "star-parts")
+    rows, joined = live, True
+    for turn in range(CLOSEST_ROUNDS + 1):
+        closest = joined and turn < CLOSEST_ROUNDS
+        name = f"closest-{turn}" if closest else "every"
+        tagged = rows.select("gram", "place", "key").join(_few(parts), "key")
+        mixed = scratch.write(tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("gram"), f"{name}-mixed")
+        if mixed.limit(1).count() == 0:
+            break
+        rows = scratch.write(tagged.join(_few(mixed), "gram", "left_semi").select("gram", "place", "key", "part"), f"{name}-rows")
+        pairs = scratch.write(_crossing(_in_blocks(rows.join(outlines.select("key", "suffix"), "key").select("gram", "place", "key", "part", "suffix")), percent, closest), f"{name}-pairs")
+        parts, joined = _united(parts, _verified(pairs, outlines, texts_of, scratch, name, size, percent), scratch, f"{name}-parts")
+        if not closest:
+            break
     found = parts.withColumnRenamed("part", "component")
     named = first.join(found, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
