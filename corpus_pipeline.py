@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import jaccard, packing, pii, toxicity
 from tessera.llm.common import Scratch, table, text_batches
 
+#: Near copies share this percentage of the union of their word shingles of this size; op10's query has its own.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject; its labels are those of ``labels``."""
@@ -21,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard.deduplicate(spark, docs, sf_dir)
+    return jaccard.deduplicate(spark, docs, sf_dir, size=NEAR_SIZE, percent=NEAR_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -421,14 +421,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Of each component one document stays, the one that names it, with its columns.
 
     Rows that repeat id and text become one.  Rows without an id stay, as do those without words.
     """
     text_batches(spark, BATCH_ROWS)
     scratch = Scratch(spark)
-    found = scratch.write(cluster(docs, scratch), "classes")
+    found = scratch.write(cluster(docs, scratch, size, percent), "classes")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     ids = kept.select(F.col("doc_id").alias("kept_id")).union(spark.range(1).select(F.lit(-(1 << 63)).alias("kept_id")))
     out = docs.join(_few(ids), _row_id("doc_id") == F.col("kept_id"), "left_semi")

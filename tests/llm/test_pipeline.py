@@ -1,6 +1,7 @@
 import corpus_pipeline
 from tessera.llm import pii, toxicity
 from tessera.llm.common import table
+from tests.llm.conftest import DOC_SCHEMA
 from tests.llm.test_jaccard import brute
 from tests.llm.test_token_files import library
 
@@ -21,3 +22,11 @@ def test_stages_against_brute_force(spark):
     for r in corpus_pipeline.run(spark, DATA).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
+
+
+def test_near_copies_take_five_words_and_four_fifths(spark):
+    base = [f"w{k}" for k in range(100)]
+    more = [f"m{k}" for k in range(30)]
+    rows = [(1, " ".join(base), "en", "a", 1), (2, " ".join(base + more[:20]), "en", "a", 1), (3, "x " + " ".join(base[::-1]), "en", "a", 1), (4, "x " + " ".join(base[::-1] + more), "en", "a", 1)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOC_SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]  # 96 of 116 five-word shingles, 97 of 127
