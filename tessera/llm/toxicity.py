@@ -31,8 +31,8 @@ from tessera.llm.common import table, text_batches
 #: Documents of each class that the classifier is fitted on, at most, and their greatest length.
 SAMPLE = 700
 FIT_CHARS = 40_000
-#: Words of a window, and from one window's start to the next.
-WINDOW, STRIDE = 8, 4
+#: Words of a window; one starts at every word.
+WINDOW = 8
 BUCKETS, WIDTH = 1 << 18, 8
 EPOCHS = (40, 40, 40)
 #: Training documents that must share an n-gram; others embed to zero, so what one document has alone is not learnt by heart.
@@ -79,8 +79,7 @@ class Model:
         if n <= WINDOW:
             return float(values.sum() / WINDOW + self.bias)
         total = np.concatenate([[0.0], np.cumsum(values)])
-        starts = np.unique(np.minimum(np.arange(0, n, STRIDE), n - WINDOW))
-        return float((total[starts + WINDOW] - total[starts]).max() / WINDOW + self.bias)
+        return float((total[WINDOW:] - total[:-WINDOW]).max() / WINDOW + self.bias)
 
     def score(self, logit: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30))))
@@ -96,14 +95,14 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Mod
     if len({y for _, y in bags}) < 2:
         return None
     index: dict[str, int] = {}
-    tokens, owner = [], []  # windows of word numbers; the last word number is no word
-    for k, (bag, _) in enumerate(bags):
+    parts = []  # word numbers of each document; -1 is no word
+    for bag, _ in bags:
         ids = [index.setdefault(w, len(index)) for w in bag]
-        for a in range(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE):
-            a = max(0, min(a, len(ids) - WINDOW))
-            tokens.append(ids[a:a + WINDOW] + [-1] * (WINDOW - len(ids[a:a + WINDOW])))
-            owner.append(k)
-    tokens, owner = np.array(tokens), np.array(owner)
+        parts.append(np.array(ids + [-1] * (WINDOW - len(ids)), dtype=np.int32))
+    tokens, count = np.concatenate(parts), np.array([len(p) - WINDOW + 1 for p in parts])
+    first = np.cumsum(count) - count  # each document's first window
+    owner = np.repeat(np.arange(len(bags)), count)
+    starts = np.arange(len(owner)) + owner * (WINDOW - 1)
     y_doc = np.array([y for _, y in bags])
     lists = [grams(w) for w in index]
     sizes = np.array([len(g) for g in lists], dtype=np.float32)
@@ -123,16 +122,23 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Mod
         """The mean over each word's n-grams; a last 0 is for no word."""
         return np.append(np.bincount(word_of, weights=of_gram[gram_of], minlength=len(sizes)) / sizes, 0.0).astype(np.float32)
 
+    def logits() -> np.ndarray:
+        """Of all windows."""
+        total = np.concatenate([[0.0], np.cumsum(per_word(E @ W)[tokens], dtype=np.float64)])
+        return (total[starts + WINDOW] - total[starts]) / WINDOW + bias
+
     def train(some: np.ndarray, y: np.ndarray, epochs: int) -> None:
         """Full-batch Adam with weight decay; both classes weigh alike."""
         nonlocal E, W, bias
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-        state, mine = [np.zeros_like(E), np.zeros_like(E), np.zeros_like(W), np.zeros_like(W)], tokens[some]
-        flat = np.where(mine < 0, len(sizes), mine).ravel()
+        state = [np.zeros_like(E), np.zeros_like(E), np.zeros_like(W), np.zeros_like(W)]
+        flat = np.where(tokens < 0, len(sizes), tokens)
         for t in range(1, epochs + 1):
-            logit = per_word(E @ W)[mine].mean(axis=1) + bias
-            g = (1 / (1 + np.exp(-logit)) - y) * weight
-            of_word = np.bincount(flat, weights=np.repeat(g / WINDOW, WINDOW), minlength=len(sizes) + 1)[:-1] / sizes
+            g = (1 / (1 + np.exp(-logits()[some])) - y) * weight
+            edge = np.zeros(len(tokens) + 1)
+            edge[starts[some]] += g / WINDOW
+            edge[starts[some] + WINDOW] -= g / WINDOW
+            of_word = np.bincount(flat, weights=np.cumsum(edge)[:-1], minlength=len(sizes) + 1)[:-1] / sizes
             of_gram = np.bincount(gram_of, weights=of_word[word_of], minlength=len(used)).astype(np.float32)
             # the softmax sees sums of embeddings, so both gradients follow from one weight per n-gram
             grads = (of_gram[:, None] * W[None, :], of_gram @ E)
@@ -144,15 +150,12 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Mod
             bias -= 0.5 * float(g.sum())
 
     y_win = y_doc[owner]
-    every = np.arange(len(tokens))
+    every = np.arange(len(starts))
     train(every, y_win.astype(np.float32), EPOCHS[0])
     for epochs in EPOCHS[1:]:
-        logit = per_word(E @ W)[tokens].mean(axis=1) + bias
-        order = np.lexsort((-logit, owner))
+        order = np.lexsort((-logits(), owner))
         rank = np.empty(len(order), dtype=int)
-        first = np.searchsorted(owner, np.arange(len(bags)))
         rank[order] = np.arange(len(order)) - first[owner[order]]
-        count = np.bincount(owner, minlength=len(bags))
         keep = (y_win == 0) | (rank < np.maximum(1, count // 20)[owner])
         train(every[keep], y_win[keep].astype(np.float32), epochs)
     model = Model(np.zeros(BUCKETS, dtype=np.float32), bias, 1.0, 0.0)

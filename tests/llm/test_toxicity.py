@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tessera.llm import toxicity
 from tests.llm.conftest import DOC_SCHEMA
 
@@ -43,3 +45,21 @@ def test_edges(spark, docs_rows):
     held = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.held_out(docs.doc_id).alias("h")).collect()}
     assert all(h == (zlib.crc32(str(k).encode()) % 3 == 1) for k, h in held.items() if k is not None) and held[None] is False
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_every_window_is_scored():
+    model = toxicity.Model(np.zeros(1), 0.0, 1.0, 0.0)
+    for n in (8, 9, 14, 40):
+        for at in range(n - 7):
+            values = np.zeros(n)
+            values[[at, at + 7]] = 1.0
+            assert model.logit(values) == 2 / toxicity.WINDOW
+    clean = ["soft", "warm", "plain", "green", "quiet", "round", "early", "broad"] * 4
+    texts = [" ".join(clean[k % 5:] + ["vile", "hush", "foul"] * (k % 2)) for k in range(40)]
+    fitted = toxicity.fit(texts, [k % 2 for k in range(40)], 0.5)
+    scores = []
+    for lead in range(4):
+        values = [fitted.word_value(w) for w in clean[:lead + 1][::-1] + ["vile"] + clean[:6] + ["foul"] + clean]
+        scores.append(fitted.logit(np.array(values)))
+    best = max(sum(values[a:a + 8]) for a in range(len(values) - 7)) / 8 + fitted.bias
+    assert abs(scores[-1] - best) < 1e-6 and max(scores) - min(scores) < 1e-6
