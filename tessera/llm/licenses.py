@@ -1,6 +1,13 @@
 """License scans: segments of a text against licence templates by Dice coefficient over word bigrams.
 
-A text's segments are itself whole, its paragraphs (between blank lines) and its lines.  Texts and
+A text's segments are itself whole, its paragraphs (between blank lines), its lines, and runs of
+neighbouring lines, which runs of paragraphs are too.  A run counts for a licence only where neither
+the whole text nor a paragraph that it touches matches that licence: ``oracle``, which has no runs,
+settles those.  Runs of one licence text overlap, so of a licence's runs in a document only the best
+counts, and only if it scores above all other segments.
+Runs hold at most RUN_WORDS words for each bigram that a segment may have; they are made only where
+the text as a whole holds enough bigrams of a template, and start and end at lines that hold one,
+as others would only lower the score.  Texts and
 templates are normalised alike: lower case, and everything but a-z and 0-9 separates words.  A
 segment with A distinct bigrams and a template with B can only reach LEAST if
 LEAST * B / (2 - LEAST) <= A <= (2 - LEAST) * B / LEAST, and then shares at least LEAST * B / (2 - LEAST)
@@ -19,13 +26,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
 LEAST = 0.8
 MOST_BIGRAMS = 50_000
+#: Words of a run for each distinct bigram that it may have: more repeat what it has.
+RUN_WORDS = 2
+#: What parts the paragraphs of a normalised text.
+PARAGRAPHS = "\\n *\\n[ \\n]*"
 
 _MIT_TERMS = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _MIT_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -104,6 +115,44 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def _segment_hash(bigrams: Column) -> Column:
+    return F.xxhash64(F.concat_ws("\n", bigrams))
+
+
+def _segments(normal: DataFrame, held: list[tuple[int, str, list[str]]], least: float) -> DataFrame:
+    """(doc_id, segment, touched) of each normalised text; ``touched`` has the hashes of the whole text
+    and the paragraphs that a run touches, and is null for other segments."""
+    every = sorted({b for *_, bigrams in held for b in bigrams})
+    known = F.when(F.instr("normal", "\n") > 0, F.array_intersect(_bigrams(F.col("normal")), F.lit(every)))
+    # the most words of a run, by the templates whose bigrams the text holds enough of
+    most = F.greatest(F.lit(0), *[F.when(F.size(F.array_intersect("known", F.lit(b))) >= math.ceil(least * len(b) / (2 - least) - 1e-9), int(RUN_WORDS * len(b) * (2 - least) / least) + 1) for *_, b in held])
+    texts = normal.select("doc_id", "normal", _once(known).alias("known")).select("doc_id", "normal", _once(most).alias("most"))
+
+    def lines_of(paragraph: Column) -> Column:
+        kept = F.filter(F.transform(F.split(paragraph["text"], "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return F.transform(kept, lambda x: F.struct(x.alias("line"), F.size(F.split(x, " +")).alias("words"), paragraph["hash"].alias("paragraph")))
+
+    lines = F.when(F.col("most") > 0, F.flatten(F.transform(F.transform(F.split("normal", PARAGRAPHS), lambda p: F.struct(p.alias("text"), _segment_hash(_bigrams(p)).alias("hash"))), lines_of)))
+    texts = texts.select("doc_id", "normal", "most", F.when(F.col("most") > 0, _segment_hash(_bigrams(F.col("normal")))).alias("whole"), _once(lines).alias("lines"))
+
+    def holds(two: Column) -> Column:
+        return F.exists(_bigrams(F.array_join(two["line"], " ")), lambda b: b.isin(every))
+
+    simple = F.array_distinct(F.concat(F.array("normal"), F.split("normal", PARAGRAPHS), F.split("normal", "\n")))
+    none = F.filter("lines", lambda x: F.lit(False))
+    starts = F.filter(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: holds(F.slice("lines", i, 2)))
+    starts = F.when(F.size("lines") > 1, F.transform(starts, lambda i: F.struct(F.lit(None).cast("string").alias("segment"), F.slice("lines", i, F.col("most")).alias("lines"))))
+    parts = F.concat(F.transform(simple, lambda x: F.struct(x.alias("segment"), none.alias("lines"))), F.coalesce(starts, F.array()))
+    texts = texts.select("doc_id", "most", "whole", F.explode(parts).alias("part")).select("doc_id", "most", "whole", "part.*")
+    fitting = F.aggregate("lines", F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")), lambda got, x: F.struct(
+        (got["words"] + x["words"]).alias("words"), (got["lines"] + F.when(got["words"] + x["words"] <= F.col("most"), 1).otherwise(0)).alias("lines")))["lines"]
+    texts = texts.select("doc_id", "segment", "whole", "lines", _once(F.when(F.col("segment").isNull(), fitting)).alias("fitting")).where("segment is not null or fitting > 1")
+    ends = F.filter(F.sequence(F.lit(2), "fitting"), lambda n: holds(F.slice("lines", n - 1, 2)))
+    runs = F.transform(ends, lambda n: F.struct(F.array_join(F.slice("lines", 1, n)["line"], "\n").alias("segment"), F.array_distinct(F.concat(F.array("whole"), F.slice("lines", 1, n)["paragraph"])).alias("touched")))
+    alone = F.array(F.struct("segment", F.lit(None).cast("array<long>").alias("touched")))
+    return texts.select("doc_id", F.explode(F.when(F.col("segment").isNotNull(), alone).otherwise(runs)).alias("part")).select("doc_id", "part.*")
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, license, dice, licenses, n_matches.
 
@@ -118,15 +167,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     known = sorted({b for *_, bigrams in held for b in bigrams if set(named).intersection(b.split())})
     normal = docs.where(F.col("text").isNotNull()).select("doc_id", _once(_normal(F.col("text"))).alias("normal"))
     normal = normal.where(F.exists(F.split(F.translate("normal", "\n", " "), " "), lambda w: w.isin(named)))
-    segments = normal.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("normal"), F.split("normal", "\\n *\\n[ \\n]*"), F.split("normal", "\\n")))).alias("segment"))
-    bigrams = segments.select("doc_id", _once(_bigrams(F.col("segment"))).alias("bigrams")).where(F.size("bigrams").between(few, many))
+    segments = _segments(normal, held, least)
+    bigrams = segments.select("doc_id", "touched", _once(_bigrams(F.col("segment"))).alias("bigrams")).where(F.size("bigrams").between(few, many))
     bigrams = bigrams.where(F.exists("bigrams", lambda b: b.isin(known))).withColumn("segment", F.concat_ws("\n", "bigrams"))
-    single = bigrams.groupBy("doc_id", "segment").agg(F.first("bigrams").alias("bigrams"))
+    single = bigrams.groupBy("doc_id", "segment", "touched").agg(F.first("bigrams").alias("bigrams"))
     table_ = spark.createDataFrame([(k, name, b, len(bs)) for k, name, bs in held for b in bs], "template int, license string, bigram string, held int")
-    words = single.select("doc_id", "segment", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
+    words = single.select("doc_id", "segment", "touched", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
     fits = (F.col("size") >= F.col("held") * least / (2 - least)) & (F.col("size") <= F.col("held") * (2 - least) / least)
-    shared = words.join(F.broadcast(table_), "bigram").where(fits).groupBy("doc_id", "segment", "size", "template", "license", "held").agg(F.count("*").alias("shared"))
+    shared = words.join(F.broadcast(table_), "bigram").where(fits).groupBy("doc_id", "segment", "touched", "size", "template", "license", "held").agg(F.count("*").alias("shared"))
     dice = shared.withColumn("dice", 2.0 * F.col("shared") / (F.col("size") + F.col("held"))).where(F.col("dice") >= least)
+    alike = Window.partitionBy("doc_id", "license")
+    simple, order = F.col("touched").isNull(), F.struct(-F.col("dice"), "size", "segment")
+    dice = dice.withColumn("others", F.max(F.when(simple, F.col("dice"))).over(alike)).withColumn("settled", F.collect_set(F.when(simple, F.xxhash64("segment"))).over(alike))
+    dice = dice.where(simple | (~F.arrays_overlap("touched", "settled") & (F.col("dice") > F.coalesce("others", F.lit(0.0)))))
+    dice = dice.withColumn("best_run", F.min(F.when(~simple, order)).over(alike)).where(simple | (order == F.col("best_run")))
     best = dice.groupBy("doc_id").agg(F.min(F.struct(-F.col("dice"), "license")).alias("best"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("segment").alias("n_matches"))
     best = best.select(F.col("doc_id").alias("found_id"), F.col("best.license").alias("license"), (-F.col("best.col1")).alias("dice"), "licenses", "n_matches")
     out = docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")

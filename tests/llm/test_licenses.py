@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -69,3 +70,24 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma", "en", "a", 1)], DOC_SCHEMA)
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_runs_of_paragraphs_and_lines(spark):
+    texts = dict((n, t) for n, t in sorted(licenses.TEMPLATES, key=lambda x: len(x[1])))
+    cuts = {"BSD-2-Clause": ["2. Redis", "THIS SOFT"], "BSD-3-Clause": ["1. Redis", "2. Redis", "3. Neither", "THIS SOFT"], "GPL-3.0": ["This program is dist", "You should have"]}
+    rows, best = [], {}
+    for k, (name, starts) in enumerate(cuts.items()):
+        notice = texts[name]
+        for start in starts:
+            notice = notice.replace(start, "\n \n" + start)
+        lines = [x for p in notice.split("\n") for x in textwrap.wrap(p, 61) or [""]]
+        code = [f"value_{i} = call({i}, other_{i % 7})" for i in range(60)]
+        rows.append((k, "\n".join(code + ["", "# Copyright 2020 Someone. All rights reserved.", "#"] + [f"# {x}" for x in lines] + [""] + code), "en", "a", 1))
+        kept = [x for x in rows[-1][1].split("\n") if bigrams(x)]
+        goal = [bigrams(t) for n, t in licenses.TEMPLATES if n == name]
+        found = (bigrams("\n".join(kept[i:j])) for i in range(len(kept)) for j in range(i + 1, min(len(kept), i + 60) + 1))
+        best[k] = max(2.0 * len(s & t) / (len(s) + len(t)) for s in found for t in goal)
+        assert brute(rows)[k][1] != name
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    for k, name in enumerate(cuts):
+        assert name in got[k].licenses.split(",") and got[k].license == name and got[k].dice == best[k] > 0.9, got[k]
