@@ -2,8 +2,8 @@
 
 A word is the mean of the embeddings of its hashed character n-grams and of itself, a window of
 WINDOW words the mean of its words, and a linear softmax on it says toxic or not; embeddings and
-softmax are trained jointly in numpy.  A misspelt word shares most n-grams with the word meant,
-so it scores alike.  Labels are known for documents only, and a few words make a document toxic:
+softmax are trained jointly in numpy.  A word above LONGEST characters is cut into overlapping
+pieces, each a word.  A misspelt word shares most n-grams with the word meant, so it scores alike.  Labels are known for documents only, and a few words make a document toxic:
 training first gives every window its document's label, then twice keeps only the windows of
 toxic documents that score highest.  A document's score is its highest window's logit, calibrated
 on the training documents by a logistic with the class shares of all labels.
@@ -33,6 +33,8 @@ SAMPLE = 700
 FIT_CHARS = 40_000
 #: Words of a window; one starts at every word.
 WINDOW = 8
+#: Characters of a word; longer ones, as in text without white space, are scored in pieces.
+LONGEST = 64
 BUCKETS, WIDTH = 1 << 18, 8
 EPOCHS = (40, 40, 40)
 #: Training documents that must share an n-gram; others embed to zero, so what one document has alone is not learnt by heart.
@@ -47,13 +49,21 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased words without ASCII punctuation around them; a run of one word counts once."""
-    return [w for w, _ in groupby([w.strip(_EDGE) for w in text.lower().split()]) if w]
+    """Lower-cased words without ASCII punctuation around them, long ones in pieces; a run of one word counts once."""
+    found = [w.strip(_EDGE) for w in text.lower().split()]
+    if max(map(len, found), default=0) > LONGEST:
+        found = [p for w in found for p in pieces(w)]
+    return [w for w, _ in groupby(found) if w]
+
+
+def pieces(word: str) -> list[str]:
+    """The word, or pieces of LONGEST characters that overlap by half."""
+    return [word[a:a + LONGEST] for a in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)]
 
 
 def grams(word: str) -> list[int]:
     """Buckets of the word and of its character 3- to 5-grams with both ends marked."""
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     found = {marked}
     for n in (3, 4, 5):
         found.update(marked[i:i + n] for i in range(len(marked) - n + 1))

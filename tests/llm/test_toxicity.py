@@ -63,3 +63,15 @@ def test_every_window_is_scored():
         scores.append(fitted.logit(np.array(values)))
     best = max(sum(values[a:a + 8]) for a in range(len(values) - 7)) / 8 + fitted.bias
     assert abs(scores[-1] - best) < 1e-6 and max(scores) - min(scores) < 1e-6
+
+
+def test_all_of_a_long_word_is_scored():
+    clean = "soft.warm.plain.green.quiet.round.early.broad." * 4
+    for at in range(60, 120, 7):
+        glued = clean[:at] + "abominator" + clean[at:]
+        assert any("abominator" in w for w in toxicity.words(glued)) and toxicity.words("short " + glued)[0] == "short"
+        assert all(any(glued[a:a + 5] in w for w in toxicity.words(glued)) for a in range(len(glued) - 5))
+    fitted = toxicity.fit([f"word{k % 3} " + ("abominator" if k % 2 else "harmless") for k in range(40)], [k % 2 for k in range(40)], 0.5)
+    one, two = (fitted.logit(np.array([fitted.word_value(w) for w in toxicity.words(clean[:-1] + t)])) for t in ("harmless", "abominator"))
+    assert one < two
+    assert max(len(w) for w in toxicity.words("x" * 5000 + " y")) <= toxicity.LONGEST and toxicity.pieces("x" * 64) == ["x" * 64]
