@@ -9,9 +9,9 @@ Runs hold at most RUN_WORDS words for each bigram that a segment may have; they
 the text as a whole holds enough bigrams of a template, and start and end at lines that hold one,
 as others would only lower the score.  Texts and
 templates are normalised alike: lower case, and everything but a-z and 0-9 separates words.  A
-segment with A distinct bigrams and a template with B can only reach LEAST if
-LEAST * B / (2 - LEAST) <= A <= (2 - LEAST) * B / LEAST, and then shares at least LEAST * B / (2 - LEAST)
-bigrams.  So a text must hold one of the words that all but fewer of each template's bigrams contain
+segment with A distinct bigrams and a template with B, of which they share S, reach LEAST = p / q if
+2 q S >= p (A + B).  As S is at most A and at most B, that needs p B / (2 q - p) <= A <= (2 q - p) B / p
+and as many shared bigrams as the lower bound.  All of this is done in integers, so a segment just on a bound is kept.  So a text must hold one of the words that all but fewer of each template's bigrams contain
 (``anchors``), and a segment a template's bigram with such a word; others are dropped.  So are segments
 outside the size bounds of all templates, before anything is joined, and bigrams only meet
 templates whose bounds hold.  All of it is DataFrame functions.  Templates are a parameter; what they
@@ -19,12 +19,13 @@ hold, at most MOST_BIGRAMS bigrams, is a constant table, so broadcasting it is b
 
 A text of one word has that word as its only bigram; null, empty and wordless texts match nothing.
 Every row of the table gives a row; rows that share an id share their result (that of all their
-texts), null ids too.  Equal scores go to the smaller licence id.
+texts), rows without an id have that of their own text.  An empty table gives no rows; other columns are not read.
+Equal scores go to the smaller licence id.
 """
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,17 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+def _ratio(least: float) -> tuple[int, int]:
+    """p and q of the least score p / q, as it is written in decimals."""
+    return Fraction(str(least)).as_integer_ratio()
+
+
+def _bounds(bigrams: int, least: float) -> tuple[int, int]:
+    """The fewest and most bigrams of a segment that may match a template of so many; it shares the fewest at least."""
+    p, q = _ratio(least)
+    return -(-p * bigrams // (2 * q - p)), (2 * q - p) * bigrams // p
+
+
 def _normal(text: Column) -> Column:
     """Words parted by spaces; line feeds stay, for lines and paragraphs."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9\\n]+", " ")
@@ -102,7 +114,7 @@ def anchors(held: list[tuple[int, str, list[str]]], least: float) -> list[str]:
     fewer of the template's bigrams are without them than must be shared."""
     chosen: set[str] = set()
     for *_, bigrams in held:
-        spare = math.ceil(least * len(bigrams) / (2 - least) - 1e-9) - 1
+        spare = _bounds(len(bigrams), least)[0] - 1
         for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
             if sum(not chosen.intersection(b.split()) for b in bigrams) <= spare:
                 break
@@ -120,20 +132,20 @@ def _segment_hash(bigrams: Column) -> Column:
 
 
 def _segments(normal: DataFrame, held: list[tuple[int, str, list[str]]], least: float) -> DataFrame:
-    """(doc_id, segment, touched) of each normalised text; ``touched`` has the hashes of the whole text
+    """(key, segment, touched) of each normalised text; ``touched`` has the hashes of the whole text
     and the paragraphs that a run touches, and is null for other segments."""
     every = sorted({b for *_, bigrams in held for b in bigrams})
     known = F.when(F.instr("normal", "\n") > 0, F.array_intersect(_bigrams(F.col("normal")), F.lit(every)))
     # the most words of a run, by the templates whose bigrams the text holds enough of
-    most = F.greatest(F.lit(0), *[F.when(F.size(F.array_intersect("known", F.lit(b))) >= math.ceil(least * len(b) / (2 - least) - 1e-9), int(RUN_WORDS * len(b) * (2 - least) / least) + 1) for *_, b in held])
-    texts = normal.select("doc_id", "normal", _once(known).alias("known")).select("doc_id", "normal", _once(most).alias("most"))
+    most = F.greatest(F.lit(0), *[F.when(F.size(F.array_intersect("known", F.lit(b))) >= _bounds(len(b), least)[0], RUN_WORDS * _bounds(len(b), least)[1] + 1) for *_, b in held])
+    texts = normal.select("key", "normal", _once(known).alias("known")).select("key", "normal", _once(most).alias("most"))
 
     def lines_of(paragraph: Column) -> Column:
         kept = F.filter(F.transform(F.split(paragraph["text"], "\n"), lambda x: F.trim(x)), lambda x: x != "")
         return F.transform(kept, lambda x: F.struct(x.alias("line"), F.size(F.split(x, " +")).alias("words"), paragraph["hash"].alias("paragraph")))
 
     lines = F.when(F.col("most") > 0, F.flatten(F.transform(F.transform(F.split("normal", PARAGRAPHS), lambda p: F.struct(p.alias("text"), _segment_hash(_bigrams(p)).alias("hash"))), lines_of)))
-    texts = texts.select("doc_id", "normal", "most", F.when(F.col("most") > 0, _segment_hash(_bigrams(F.col("normal")))).alias("whole"), _once(lines).alias("lines"))
+    texts = texts.select("key", "normal", "most", F.when(F.col("most") > 0, _segment_hash(_bigrams(F.col("normal")))).alias("whole"), _once(lines).alias("lines"))
 
     def holds(two: Column) -> Column:
         return F.exists(_bigrams(F.array_join(two["line"], " ")), lambda b: b.isin(every))
@@ -143,14 +155,14 @@ def _segments(normal: DataFrame, held: list[tuple[int, str, list[str]]], least:
     starts = F.filter(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: holds(F.slice("lines", i, 2)))
     starts = F.when(F.size("lines") > 1, F.transform(starts, lambda i: F.struct(F.lit(None).cast("string").alias("segment"), F.slice("lines", i, F.col("most")).alias("lines"))))
     parts = F.concat(F.transform(simple, lambda x: F.struct(x.alias("segment"), none.alias("lines"))), F.coalesce(starts, F.array()))
-    texts = texts.select("doc_id", "most", "whole", F.explode(parts).alias("part")).select("doc_id", "most", "whole", "part.*")
+    texts = texts.select("key", "most", "whole", F.explode(parts).alias("part")).select("key", "most", "whole", "part.*")
     fitting = F.aggregate("lines", F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")), lambda got, x: F.struct(
         (got["words"] + x["words"]).alias("words"), (got["lines"] + F.when(got["words"] + x["words"] <= F.col("most"), 1).otherwise(0)).alias("lines")))["lines"]
-    texts = texts.select("doc_id", "segment", "whole", "lines", _once(F.when(F.col("segment").isNull(), fitting)).alias("fitting")).where("segment is not null or fitting > 1")
+    texts = texts.select("key", "segment", "whole", "lines", _once(F.when(F.col("segment").isNull(), fitting)).alias("fitting")).where("segment is not null or fitting > 1")
     ends = F.filter(F.sequence(F.lit(2), "fitting"), lambda n: holds(F.slice("lines", n - 1, 2)))
     runs = F.transform(ends, lambda n: F.struct(F.array_join(F.slice("lines", 1, n)["line"], "\n").alias("segment"), F.array_distinct(F.concat(F.array("whole"), F.slice("lines", 1, n)["paragraph"])).alias("touched")))
     alone = F.array(F.struct("segment", F.lit(None).cast("array<long>").alias("touched")))
-    return texts.select("doc_id", F.explode(F.when(F.col("segment").isNotNull(), alone).otherwise(runs)).alias("part")).select("doc_id", "part.*")
+    return texts.select("key", F.explode(F.when(F.col("segment").isNotNull(), alone).otherwise(runs)).alias("part")).select("key", "part.*")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,48 +173,51 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     """
     spark = docs.sparkSession
     held = template_table(spark, templates or TEMPLATES, least)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    few, many = min(len(b) for *_, b in held) * least / (2 - least), max(len(b) for *_, b in held) * (2 - least) / least
+    # rows without an id are known by their texts: they are not one group, and copies share a result
+    key = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("t"), F.md5(F.col(text_col).cast("binary"))))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    (p, q), sizes = _ratio(least), [_bounds(len(b), least) for *_, b in held]
+    few, many = min(a for a, _ in sizes), max(b for _, b in sizes)
     named = anchors(held, least)
     known = sorted({b for *_, bigrams in held for b in bigrams if set(named).intersection(b.split())})
-    normal = docs.where(F.col("text").isNotNull()).select("doc_id", _once(_normal(F.col("text"))).alias("normal"))
+    normal = docs.where(F.col("text").isNotNull()).select("key", _once(_normal(F.col("text"))).alias("normal"))
     normal = normal.where(F.exists(F.split(F.translate("normal", "\n", " "), " "), lambda w: w.isin(named)))
     segments = _segments(normal, held, least)
-    bigrams = segments.select("doc_id", "touched", _once(_bigrams(F.col("segment"))).alias("bigrams")).where(F.size("bigrams").between(few, many))
+    bigrams = segments.select("key", "touched", _once(_bigrams(F.col("segment"))).alias("bigrams")).where(F.size("bigrams").between(few, many))
     bigrams = bigrams.where(F.exists("bigrams", lambda b: b.isin(known))).withColumn("segment", F.concat_ws("\n", "bigrams"))
-    single = bigrams.groupBy("doc_id", "segment", "touched").agg(F.first("bigrams").alias("bigrams"))
+    single = bigrams.groupBy("key", "segment", "touched").agg(F.first("bigrams").alias("bigrams"))
     table_ = spark.createDataFrame([(k, name, b, len(bs)) for k, name, bs in held for b in bs], "template int, license string, bigram string, held int")
-    words = single.select("doc_id", "segment", "touched", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
-    fits = (F.col("size") >= F.col("held") * least / (2 - least)) & (F.col("size") <= F.col("held") * (2 - least) / least)
-    shared = words.join(F.broadcast(table_), "bigram").where(fits).groupBy("doc_id", "segment", "touched", "size", "template", "license", "held").agg(F.count("*").alias("shared"))
-    dice = shared.withColumn("dice", 2.0 * F.col("shared") / (F.col("size") + F.col("held"))).where(F.col("dice") >= least)
-    alike = Window.partitionBy("doc_id", "license")
+    words = single.select("key", "segment", "touched", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
+    fits = 2 * q * F.least("size", "held") >= p * (F.col("size") + F.col("held"))
+    shared = words.join(F.broadcast(table_), "bigram").where(fits).groupBy("key", "segment", "touched", "size", "template", "license", "held").agg(F.count("*").alias("shared"))
+    dice = shared.where(2 * q * F.col("shared") >= p * (F.col("size") + F.col("held"))).withColumn("dice", 2.0 * F.col("shared") / (F.col("size") + F.col("held")))
+    alike = Window.partitionBy("key", "license")
     simple, order = F.col("touched").isNull(), F.struct(-F.col("dice"), "size", "segment")
     dice = dice.withColumn("others", F.max(F.when(simple, F.col("dice"))).over(alike)).withColumn("settled", F.collect_set(F.when(simple, F.xxhash64("segment"))).over(alike))
     dice = dice.where(simple | (~F.arrays_overlap("touched", "settled") & (F.col("dice") > F.coalesce("others", F.lit(0.0)))))
     dice = dice.withColumn("best_run", F.min(F.when(~simple, order)).over(alike)).where(simple | (order == F.col("best_run")))
-    best = dice.groupBy("doc_id").agg(F.min(F.struct(-F.col("dice"), "license")).alias("best"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("segment").alias("n_matches"))
-    best = best.select(F.col("doc_id").alias("found_id"), F.col("best.license").alias("license"), (-F.col("best.col1")).alias("dice"), "licenses", "n_matches")
-    out = docs.select("doc_id").join(best, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    best = dice.groupBy("key").agg(F.min(F.struct(-F.col("dice"), "license")).alias("best"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"), F.countDistinct("segment").alias("n_matches"))
+    best = best.select("key", F.col("best.license").alias("license"), (-F.col("best.col1")).alias("dice"), "licenses", "n_matches")
+    out = docs.select("doc_id", "key").join(best, "key", "left")
     return out.select("doc_id", "license", "dice", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
 
 
 def oracle(templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> str:
-    """DuckDB SQL for ``scan`` over ``documents``, without any pruning."""
+    """DuckDB SQL for ``scan`` over ``documents``: every segment against every template, without size bounds."""
+    p, q = _ratio(least)
     values = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(templates or TEMPLATES))
     words = "list_filter(string_split(replace({}, chr(10), ' '), ' '), lambda x: x <> '')"
     bigrams = "CASE WHEN len(w) = 1 THEN w WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
     return f"""
-    WITH normal AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9' || chr(10) || ']+', ' ', 'g') AS n FROM documents),
-    segments AS (SELECT doc_id, unnest(list_distinct([n] || string_split_regex(n, '\\n *\\n[ \\n]*') || string_split(n, chr(10)))) AS s FROM normal),
-    sets AS (SELECT DISTINCT doc_id, list_sort({bigrams}) AS g FROM (SELECT doc_id, {words.format('s')} AS w FROM segments)),
+    WITH normal AS (SELECT doc_id, CASE WHEN doc_id IS NULL THEN text END AS own, regexp_replace(lower(text), '[^a-z0-9' || chr(10) || ']+', ' ', 'g') AS n FROM documents),
+    segments AS (SELECT doc_id, own, unnest(list_distinct([n] || string_split_regex(n, '\\n *\\n[ \\n]*') || string_split(n, chr(10)))) AS s FROM normal),
+    sets AS (SELECT DISTINCT doc_id, own, list_sort({bigrams}) AS g FROM (SELECT doc_id, own, {words.format('s')} AS w FROM segments)),
     templates AS (SELECT k, license, {bigrams} AS g FROM (SELECT k, license, {words.format("regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')")} AS w FROM (VALUES {values}) v(k, license, t))),
-    pairs AS (SELECT doc_id, license, sets.g AS g, 2.0::DOUBLE * len(list_intersect(sets.g, templates.g)) / (len(sets.g) + len(templates.g)) AS dice FROM sets, templates
-        WHERE len(sets.g) BETWEEN len(templates.g) * {least} / {2 - least} AND len(templates.g) * {2 - least} / {least}),
-    found AS (SELECT * FROM pairs WHERE dice >= {least}),
-    best AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT g) AS n_matches FROM found GROUP BY doc_id)
+    pairs AS (SELECT doc_id, own, license, sets.g AS g, len(list_intersect(sets.g, templates.g)) AS shared, len(sets.g) + len(templates.g) AS held FROM sets, templates),
+    found AS (SELECT *, 2.0::DOUBLE * shared / held AS dice FROM pairs WHERE shared > 0 AND {2 * q} * shared >= {p} * held),
+    best AS (SELECT doc_id, own, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT g) AS n_matches FROM found GROUP BY doc_id, own)
     SELECT d.doc_id, b.license, b.dice, coalesce(b.licenses, '') AS licenses, coalesce(b.n_matches, 0) AS n_matches
-    FROM documents d LEFT JOIN best b ON d.doc_id IS NOT DISTINCT FROM b.doc_id"""
+    FROM documents d LEFT JOIN best b ON d.doc_id IS NOT DISTINCT FROM b.doc_id AND (d.doc_id IS NOT NULL OR d.text = b.own)"""
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

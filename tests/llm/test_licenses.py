@@ -13,20 +13,20 @@ def bigrams(text):
     return set(words) if len(words) == 1 else set(zip(words, words[1:]))
 
 
-def brute(rows, least=0.8):
+def brute(rows, least=0.8, templates=None):
     best = {}
     for doc_id, text, *_ in rows:
         normal = re.sub("[^a-z0-9\n]+", " ", (text or "").lower())
         segments = {frozenset(bigrams(s)) for s in [normal, *re.split("\n *\n[ \n]*", normal), *normal.split("\n")]}
         for s in segments:
-            for name, template in licenses.TEMPLATES:
+            for name, template in templates or licenses.TEMPLATES:
                 t = bigrams(template)
                 dice = 2.0 * len(s & t) / (len(s) + len(t))
-                if dice >= least:
-                    best.setdefault(doc_id, []).append((-dice, name, s))
+                if s & t and dice >= least:
+                    best.setdefault(doc_id if doc_id is not None else (text,), []).append((-dice, name, s))
     out = []
-    for doc_id, *_ in rows:
-        found = best.get(doc_id)
+    for doc_id, text, *_ in rows:
+        found = best.get(doc_id if doc_id is not None else (text,))
         out.append((doc_id, min(found)[1] if found else None, -min(f[0] for f in found) if found else None, ",".join(sorted({f[1] for f in found})) if found else "", len({f[2] for f in found}) if found else 0))
     return sorted(out, key=str)
 
@@ -43,6 +43,10 @@ def rows(docs_rows):
         (13, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.", "en", "a", 1),
         (13, "repeated id. \n All rights reserved", "en", "a", 1),
         (None, "Released under the MIT License.", "en", "a", 1),
+        (None, "Nothing of the kind here", "en", "a", 1),
+        (None, "Released under the MIT License.", "en", "b", 1),
+        (16, "All rights reserved Acme", "en", "a", 1),
+        (17, "A line.\nAll rights reserved Acme\n\nMore lines", "en", "a", 1),
         (14, "licensed " * 30_000, "en", "a", 1),
         (15, "...", "en", "a", 1),
     ]
@@ -66,6 +70,25 @@ def test_own_templates_and_empty_table(spark):
         licenses.scan(df, [("X", "...")])
 
 
+@pytest.mark.parametrize("least", [0.8, 0.6, 0.75, 1.0])
+def test_sizes_on_both_bounds(spark, least):
+    """Segments of every size around the least and the most that may match, from templates of few bigrams."""
+    templates = [(f"T{n}", " ".join(f"t{n}w{k}" for k in range(n + 1))) for n in (1, 2, 3, 4, 7, 8, 9, 16)]
+    rows = []
+    for name, text in templates:
+        n, words = int(name[1:]), text.split()
+        for size in range(1, 3 * n + 2):
+            more = [f"x{k}" for k in range(size + 1 - len(words))]
+            rows.append((len(rows), " ".join((words + more)[:size + 1]), "en", "a", 1))
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    got = sorted((tuple(r) for r in licenses.scan(df, templates, least).collect()), key=str)
+    assert got == brute(rows, least, templates)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted((tuple(None if x != x else x for x in r) for r in con.execute(licenses.oracle(templates, least)).fetchall()), key=str) == got
+    assert any(r[2] == least for r in got)
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma", "en", "a", 1)], DOC_SCHEMA)
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
