@@ -24,6 +24,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no frame has a column so called, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """A folder that the driver and all executors share, under ``spark.checkpoint.dir``.
 

@@ -3,19 +3,21 @@
 A word is the mean of the embeddings of its hashed character n-grams and of itself, a window of
 WINDOW words the mean of its words, and a linear softmax on it says toxic or not; embeddings and
 softmax are trained jointly in numpy.  A word above LONGEST characters is cut into overlapping
-pieces, each a word.  A misspelt word shares most n-grams with the word meant, so it scores alike.  Labels are known for documents only, and a few words make a document toxic:
-training first gives every window its document's label, then twice keeps only the windows of
+pieces, each a word.  A misspelt word shares most n-grams with the word meant, so it scores alike.
+Labels are known for documents only, and a few words make a document toxic: training first gives every window its document's label, then twice keeps only the windows of
 toxic documents that score highest.  A document's score is its highest window's logit, calibrated
 on the training documents by a logistic with the class shares of all labels.
 
-The classifier is fitted on at most SAMPLE documents of each class (by hash order, none over
-FIT_CHARS characters); whole texts of all documents are scored.  Only the text enters a score.
+The classifier is fitted on at most SAMPLE labelled ids of each class by hash order, and where ids
+repeat on at most 2 * SAMPLE rows, by hash order too; none is over FIT_CHARS characters.  Whole texts
+of all documents are scored.  Only the text enters a score.
 Null, empty and wordless texts score 0.  Repeated rows score alike.  Without labels of both
 classes every score is 0.  Rows whose crc32(doc_id) mod 3 is 1 are never trained on.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_batches
+from tessera.llm.common import fresh, table, text_batches
 
 #: Documents of each class that the classifier is fitted on, at most, and their greatest length.
 SAMPLE = 700
@@ -44,7 +46,8 @@ EPSILON = 1e-6
 #: Weight decay per step.
 DECAY = 0.01
 THRESHOLD = 0.7
-MEMO_WORDS = 800_000
+#: Raw tokens that a worker remembers.
+MEMO_WORDS = 300_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -100,26 +103,30 @@ class Model:
 
 def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Model | None:
     """Of the texts and their labels; ``share`` of all labels are toxic.  None without both classes."""
-    bags = [(words(t), y) for t, y in zip(texts, labels)]
-    bags = [(w, y) for w, y in bags if w]
-    if len({y for _, y in bags}) < 2:
-        return None
     index: dict[str, int] = {}
-    parts = []  # word numbers of each document; -1 is no word
-    for bag, _ in bags:
-        ids = [index.setdefault(w, len(index)) for w in bag]
-        parts.append(np.array(ids + [-1] * (WINDOW - len(ids)), dtype=np.int32))
+    parts, sizes_of, y_of = [], [], []  # word numbers of each document; -1 is no word
+    for text, y in zip(texts, labels):
+        if bag := words(text):
+            ids = [index.setdefault(w, len(index)) for w in bag]
+            parts.append(np.array(ids + [-1] * (WINDOW - len(ids)), dtype=np.int32))
+            sizes_of.append(len(ids))
+            y_of.append(y)
+    if len(set(y_of)) < 2:
+        return None
     tokens, count = np.concatenate(parts), np.array([len(p) - WINDOW + 1 for p in parts])
     first = np.cumsum(count) - count  # each document's first window
-    owner = np.repeat(np.arange(len(bags)), count)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), count)
     starts = np.arange(len(owner)) + owner * (WINDOW - 1)
-    y_doc = np.array([y for _, y in bags])
-    lists = [grams(w) for w in index]
+    y_doc = np.array(y_of)
+    lists = [np.array(grams(w), dtype=np.int32) for w in index]
     sizes = np.array([len(g) for g in lists], dtype=np.float32)
-    word_of, bucket_of = np.repeat(np.arange(len(lists)), sizes.astype(int)), np.concatenate(lists)
-    in_doc = [np.unique(np.concatenate([lists[index[w]] for w in set(bag)])) for bag, _ in bags]
-    used = np.flatnonzero(np.bincount(np.concatenate(in_doc), minlength=BUCKETS) >= LEAST_DOCS)
-    place = np.full(BUCKETS, -1)
+    word_of, bucket_of = np.repeat(np.arange(len(lists), dtype=np.int32), sizes.astype(int)), np.concatenate(lists)
+    held = np.zeros(BUCKETS, dtype=np.int32)  # documents that hold each n-gram
+    for p, n in zip(parts, sizes_of):
+        held[np.unique(np.concatenate([lists[k] for k in np.unique(p[:n])]))] += 1
+    used = np.flatnonzero(held >= LEAST_DOCS)
+    del lists, index, held
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     kept = place[bucket_of] >= 0
     word_of, gram_of = word_of[kept], place[bucket_of[kept]]
@@ -171,7 +178,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Mod
     model = Model(np.zeros(BUCKETS, dtype=np.float32), bias, 1.0, 0.0)
     model.value[used] = E @ W
     values = per_word(E @ W)
-    x = np.array([model.logit(values[[index[w] for w in bag]]) for bag, _ in bags])
+    x = np.array([model.logit(values[p[:n]]) for p, n in zip(parts, sizes_of)])
     weight = np.where(y_doc == 1, share / max(1, y_doc.sum()), (1 - share) / max(1, (1 - y_doc).sum()))
     scale = max(float(np.std(x)), 1e-6)
     a, b, mid = 1.0, 0.0, float(np.median(x))
@@ -188,38 +195,89 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Mod
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fits the classifier on the bounded sample."""
+    """Fits the classifier on the bounded sample, in a task: the driver gets the model alone, about 1 MB."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
+    share = counts[1] / (counts[0] + counts[1])
     ids = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "toxic", "text").limit(4 * SAMPLE).collect()
-    return fit([r.text for r in rows], [r.toxic for r in rows], counts[1] / (counts[0] + counts[1]))
+    rows = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(ids), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "toxic", "text").limit(2 * SAMPLE).select("doc_id", "toxic", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        model = fit([t for *_, t in held], [y for _, y, _ in held], share) if held else None
+        out = [] if model is None else [pickle.dumps((model.value.tobytes(), model.bias, model.slope, model.shift))]
+        yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["model"])
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` and toxic_score."""
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    if not found:
+        return None
+    value, *rest = pickle.loads(found[0].model)
+    return Model(np.frombuffer(value, dtype=np.float32), *rest)
+
+
+class _Values:
+    """Of a worker: the values of a text's words, looked up by what stands between white space."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}  # of raw tokens; 0: no word, -1: a long one, in pieces
+        self.known: dict[str, int] = {"": 0}  # of words
+        self.value = np.zeros(1024)
+
+    def _add(self, token: str) -> int:
+        word = token.strip(_EDGE)
+        if len(word) > LONGEST:
+            return -1
+        n = self.known.setdefault(word, len(self.known))
+        if n == len(self.known) - 1 and n:
+            if n == len(self.value):
+                self.value = np.concatenate([self.value, np.zeros(n)])
+            self.value[n] = self.model.word_value(word)
+        return n
+
+    def __call__(self, text: str) -> np.ndarray:
+        """As ``words``: stripped, long ones in pieces, a run of one word once."""
+        if len(self.number) > MEMO_WORDS:
+            self.clear()
+        tokens = text.lower().split()
+        found = list(map(self.number.get, tokens))
+        if None in found:
+            for k, n in enumerate(found):
+                if n is None:
+                    n = self._add(tokens[k])
+                    if n >= 0:
+                        self.number[tokens[k]] = n
+                    found[k] = n
+        if -1 in found:
+            return np.array([self.model.word_value(w) for w in words(text)])
+        n = np.array(found, dtype=np.int64)
+        keep = np.ones(len(n), dtype=bool)
+        keep[1:] = n[1:] != n[:-1]
+        keep &= n > 0
+        return self.value[n[keep]]
+
+
+def score(docs: DataFrame, model: Model | None, out_col: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` and the score; ``out_col`` must not be one of them."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(out_col, DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, float] = {}
+        values = model and _Values(model)
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
             scores = []
             for text in batch.column(at).to_pylist():
-                bag = words(text) if text and model else []
-                values = list(map(memo.get, bag))
-                if None in values:
-                    for k, (w, v) in enumerate(zip(bag, values)):
-                        if v is None:
-                            values[k] = memo[w] = model.word_value(w)
-                scores.append(model.score(model.logit(np.array(values))) if bag else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, "toxic_score"])
+                bag = values(text) if text and model else ()
+                scores.append(model.score(model.logit(bag)) if len(bag) else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -232,7 +290,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't call toxic, with their columns."""
+    """The documents that the classifier doesn't call toxic, with their columns, whatever their names.
+
+    Documents of null, empty or wordless text stay, as do all where labels lack a class; an empty table stays empty.
+    """
     text_batches(spark)
-    model = train_on(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("toxic_score") < THRESHOLD).drop("toxic_score")
+    model, name = train_on(docs, table(spark, sf_dir, "labels")), fresh("toxic_score", docs)
+    return score(docs, model, name).where(F.col(name) < THRESHOLD).drop(name)

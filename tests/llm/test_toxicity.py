@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -75,3 +76,50 @@ def test_all_of_a_long_word_is_scored():
     one, two = (fitted.logit(np.array([fitted.word_value(w) for w in toxicity.words(clean[:-1] + t)])) for t in ("harmless", "abominator"))
     assert one < two
     assert max(len(w) for w in toxicity.words("x" * 5000 + " y")) <= toxicity.LONGEST and toxicity.pieces("x" * 64) == ["x" * 64]
+
+
+def plain_score(model, text):
+    """Every window's mean of its words' means of n-gram values, one by one."""
+    found = [w.strip(toxicity._EDGE) for w in (text or "").lower().split()]
+    if any(len(w) > toxicity.LONGEST for w in found):
+        found = [w[a:a + toxicity.LONGEST] for w in found for a in range(0, max(1, len(w) - 32), 32)]
+    bag = [w for k, w in enumerate(found) if w and (k == 0 or found[k - 1] != w)]
+    if not bag:
+        return 0.0
+    values = []
+    for w in bag:
+        marked = f"<{w}>"
+        parts = {marked} | {marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+        values.append(sum(float(model.value[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in parts) / len(parts))
+    windows = [sum(values[a:a + 8]) / 8 for a in range(max(1, len(values) - 7))]
+    return 1 / (1 + math.exp(-min(30, max(-30, model.slope * (max(windows) + model.bias) + model.shift))))
+
+
+def test_scores_against_plain_windows(spark, docs_rows, monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 50)  # it starts anew again and again
+    rows, labels = made(120, 5)
+    rows += [(1000 + k, *r[1:]) for k, r in enumerate(docs_rows)]
+    rows += [(2000, "x.y-z " * 30 + "q" * 500 + " abominator abominator , , abominator", "en", "a", 1), (2001, "Abominator, (abominator) - \"ABOMINATOR\"", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    model = toxicity.train_on(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.toxic_score - plain_score(model, r.text)) < 1e-5, r
+
+
+def test_reject_takes_any_columns(spark, tmp_path):
+    rows, labels = made(120, 6)
+    rows.append(rows[0])
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(*r, 0.9, "y", 1) for r in rows] + [(None, None, None, None, None, None, None, None)], DOC_SCHEMA + ", toxic_score double, TOXIC string, model int")
+    out = toxicity.reject(spark, docs, str(tmp_path))
+    model = toxicity.train_on(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert out.columns == docs.columns
+    want = sorted((r.doc_id for r in docs.collect() if plain_score(model, r.text) < toxicity.THRESHOLD), key=str)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == want and len(want) < len(rows)
+    assert toxicity.reject(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    docs = spark.createDataFrame([(k % 9, f"text {k}", "en", "a", 1) for k in range(300)], DOC_SCHEMA)
+    assert toxicity.train_on(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(9)], "doc_id long, quality int, toxic int")) is not None
