@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,14 +37,26 @@ class Scratch:
     """A folder that the driver and all executors share, under ``spark.checkpoint.dir``.
 
     ``write`` stores a DataFrame as Parquet and reads it again, which cuts its lineage by files
-    that survive the loss of an executor.  A folder of our own is made only where the setting is
-    unset, as in tests.
+    that survive the loss of an executor.  Where the setting is unset, a local master gets a folder of
+    its own, as in tests; any other is refused, as its executors would not see the driver's files.
+    What is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = f"file://{tempfile.gettempdir()}"
         self.root = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        fs, where = self._at("")
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+
+    def _at(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,5 +66,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = self._at(name)
+        fs.delete(where, True)
+
+    def only(self, *names: str) -> None:
+        """Drops all but these; what still reads the others must have been written."""
+        fs, where = self._at("")
+        for status in fs.listStatus(where):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)

@@ -1,13 +1,15 @@
 """N-gram Jaccard join: rare-first prefix filtering, each pair verified once.
 
 Documents are sets of distinct word n-grams; two link when PERCENT of their union is shared.
-1. One pass makes each set's size and a 64-bit key (documents with one key are copies and are one
-   node from here on), and counts all n-grams in a table of 2**SKETCH_BITS counters.
+1. One pass makes each set's size and 128-bit key (documents whose sets are equal are one node from
+   here on; nodes are known by 64 bits of the key, and by the other 64 where those agree for two
+   sets), counts all n-grams in a table of 2**SKETCH_BITS counters, and finds those that very many sets hold.
 2. A second pass orders every set by that count, rarest first (any order that all sets share is
    right, so shared counters only cost speed), and emits its prefix.  Two sets that link share a prefix n-gram.
-3. Prefix n-grams are sorted into runs.  Rows whose neighbours fit by length stay.  Each
-   node is verified against one hub of its runs, and the links found are united: in a group of
-   near copies this already joins nearly all with one test each.
+3. Prefix n-grams are sorted into runs.  Rows whose neighbours fit by length stay; the runs of
+   n-grams that very many hold are dealt in slots, where all rows stay.  The sets of nodes with
+   such rows are stored once.  Each node is verified against one hub of its runs, and the links found
+   are united: in a group of near copies this already joins nearly all with one test each.
 4. Pairs of a run that are still in different components are tested by length, position and suffix
    (per range of hashes, the sizes of what two sets hold bound what they can share) inside the
    run.  First only the pair of each node that comes closest by suffix is verified, and its links
@@ -20,6 +22,7 @@ Components of links, not links, are the result, so pairs inside a component need
 
 A null or wordless text has no set and links with nothing; fewer words than n make one n-gram.
 Rows with one id count each by itself; a null id never names a component that has another id.
+An empty table gives no rows; columns but the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table, text_batches
+from tessera.llm.common import Scratch, fresh, table, text_batches
 from tessera.llm.components import components
 from tessera.llm.shingles import shingles
 
@@ -42,10 +45,15 @@ SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 RANGES = 64
 #: Members of a set for each range of its outline, by which a pair is compared before whole sets are.
 OUTLINE = 4
-#: Rows of a run above which it is dealt in blocks of half as many.
+#: Rows of a run above which it is dealt in blocks of half as many, or in slots.
 RUN_ROWS = 20_000
+#: An n-gram is looked at as one that very many sets hold if one in so many of a batch does, and is
+#: one if of all sets one in HEAVY_SETS does; so there are at most HEAVY_SETS times a set's mean size.
+HEAVY_BATCH, HEAVY_SETS = 20, 1000
 #: Nodes up to which a list of them is broadcast (16 bytes each); above, it is shuffled.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
+#: Copies of the rows of a small side, so that a long set's rows are dealt over as many tasks.
+SALTS = 16
 #: Rows of an Arrow batch: of texts, sets or prefix n-grams.
 BATCH_ROWS = 500
 #: Rounds of closest pairs at most; what they leave is for the last round, which takes every pair.
@@ -54,32 +62,65 @@ CLOSEST_ROUNDS = 3
 HUB_MEMBERS = 50_000
 
 
-def set_key(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(grams: np.ndarray) -> tuple[int, int]:
+    """Two halves of a 128-bit digest of the set."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def node_of(key: tuple[int, int], clashes: frozenset[int]) -> int:
+    return key[1] if key[0] in clashes else key[0]
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of (doc_id, n, key), and per partition rows of (chunk, counts)."""
+    """Rows of (doc_id, hash, n, key, more), and per partition rows of (chunk, counts) and (gram, held)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("more", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary()), ("gram", pa.int64()), ("held", pa.int64())])
+
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["doc_id", "n", "key", "chunk", "counts"]
+        heavy: dict[int, int] = {}
         empty, shift = True, np.uint64(64 - SKETCH_BITS)
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
             if grams := [s for s in sets if len(s)]:
-                places, n = np.unique(np.concatenate(grams) >> shift, return_counts=True)
-                total[places.astype(np.int64)] += n
+                found, n = np.unique(np.concatenate(grams), return_counts=True)
+                total += np.bincount((found >> shift).astype(np.int64), weights=n, minlength=len(total)).astype(np.int64)
+                often = n * HEAVY_BATCH >= max(len(sets), HEAVY_BATCH * HEAVY_BATCH)
+                for g, c in zip(found[often].view(np.int64).tolist(), n[often].tolist()):
+                    heavy[g] = heavy.get(g, 0) + c
                 empty = False
-            keys = [set_key(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
+            yield rows(doc_id=batch.column(0), hash=batch.column(1), n=[len(s) for s in sets], key=[k for k, _ in keys], more=[k for _, k in keys])
         if not empty:
             parts = total.reshape(-1, SKETCH_CHUNK)
-            none = pa.nulls(len(parts)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), type=pa.int32()), pa.array([np.minimum(p, 2**32 - 1).astype("<u4").tobytes() for p in parts], type=pa.binary())], names=names)
+            yield rows(chunk=range(len(parts)), counts=[np.minimum(p, 2**32 - 1).astype("<u4").tobytes() for p in parts])
+        if heavy:
+            yield rows(gram=list(heavy), held=list(heavy.values()))
+
+    kinds = {"int64": "long", "int32": "int", "binary": "binary"}
+    return docs.select("doc_id", "hash", "text").mapInArrow(run, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema))
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, chunk int, counts binary")
+
+def _clashes(info: DataFrame) -> frozenset[int]:
+    """Keys whose halves agree for unequal sets: by chance none below billions of sets, and a handful there."""
+    ends = info.where("key is not null").groupBy("key").agg(F.min(F.struct("n", "more")).alias("a"), F.max(F.struct("n", "more")).alias("b"))
+    found = ends.where("a <> b").select("key").limit(BROADCAST_ROWS + 1).collect()
+    if len(found) > BROADCAST_ROWS:
+        raise RuntimeError("too many sets agree in half of their digests")
+    return frozenset(r.key for r in found)
+
+
+def _heavy(scanned: DataFrame) -> dict[int, int]:
+    """N-grams that very many sets hold, and in how many slots their rows are dealt."""
+    held = scanned.where("gram is not null").groupBy("gram").agg(F.sum("held").alias("held")).where(F.col("held") > RUN_ROWS)
+    if held.limit(1).count() == 0:
+        return {}
+    least = scanned.where("n > 0").count() / HEAVY_SETS
+    return {r.gram: -(-r.held // RUN_ROWS) for r in held.where(F.col("held") >= least).collect()}
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -100,18 +141,21 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return sketch
 
 
-def _postings(docs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
-    """(gram, place, key): each set's prefix, rarest first; place is n << 32 | position."""
+def _postings(docs: DataFrame, shared, size: int, percent: int) -> DataFrame:
+    """(gram, slot, place, key): each set's prefix, rarest first; place is n << 32 | position.
+    ``shared`` has the counters, the heavy n-grams with their slots, and the clashing keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, shift = sketch.value, set(), np.uint64(64 - SKETCH_BITS)
+        (counts, heavy, clashes), seen, shift = shared.value, set(), np.uint64(64 - SKETCH_BITS)
+        hot = np.array(sorted(heavy), dtype=np.int64)
+        slots = np.array([heavy[g] for g in hot.tolist()], dtype=np.int64)
         for batch in batches:
             grams, places, keys, sizes = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, size)
                 if not len(s):
                     continue
-                key = set_key(s)
+                key = node_of(set_key(s), clashes)
                 if key in seen:  # a copy in this partition
                     continue
                 seen.add(key)
@@ -130,87 +174,91 @@ def _postings(docs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
             if len(seen) > 500_000:
                 seen.clear()
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(places)), pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes))], names=["gram", "place", "key"])
+                gram, key = np.concatenate(grams), np.repeat(np.array(keys, dtype=np.int64), sizes)
+                slot = np.zeros(len(gram), dtype=np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
+                    mine = np.flatnonzero(hot[at] == gram)
+                    slot[mine] = 1 + key[mine] % slots[at[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(slot), pa.array(np.concatenate(places)), pa.array(key)], names=["gram", "slot", "place", "key"])
 
-    return docs.select("text").mapInArrow(run, "gram long, place long, key long")
+    return docs.select("text").mapInArrow(run, "gram long, slot int, place long, key long")
 
 
 def _live(postings: DataFrame, percent: int) -> DataFrame:
-    """Rows of runs in which a neighbour fits by length, with the hub of each: the run's first row that fits."""
+    """Rows of runs in which a neighbour fits by length, with the hub of each: the run's first row that
+    fits.  In a slot, which holds a part of its run, all rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.zeros((3, 0), dtype=np.int64)
-        last: tuple[int, int, int] | None = None  # gram, place and key of the last row that went out of sight
-        hub: tuple[int, int, int] | None = None  # gram, size and key of the present hub
+        carry = np.zeros((4, 0), dtype=np.int64)
+        last: tuple[int, int, int, int] | None = None  # the last row that went out of sight
+        hub: tuple[int, int, int, int] | None = None  # gram, slot, size and key of the present hub
 
         def settle(rows: np.ndarray, whole: bool) -> pa.RecordBatch | None:
             """All rows but the last, which waits for its successor unless this is the end."""
             nonlocal last, hub, carry
-            gram, place, key = rows
+            gram, slot, place, key = rows
             own = np.ones(len(gram), dtype=bool)
             own[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
             if last is not None and len(gram):
-                own[0] = (gram[0], key[0]) != (last[0], last[2])
-            gram, place, key = gram[own], place[own], key[own]
+                own[0] = (gram[0], key[0]) != (last[0], last[3])
+            rows = rows[:, own]
+            gram, slot, place, key = rows
             n = place >> 32
             after = np.zeros(len(gram), dtype=bool)
-            after[:-1] = (gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            after[:-1] = (gram[1:] == gram[:-1]) & (slot[1:] == slot[:-1]) & (100 * n[:-1] >= percent * n[1:])
             before = np.zeros(len(gram), dtype=bool)
             before[1:] = after[:-1]
             if last is not None and len(gram):
-                before[0] = gram[0] == last[0] and 100 * (last[1] >> 32) >= percent * n[0]
-            stop = len(gram) if whole else len(gram) - 1
+                before[0] = (gram[0], slot[0]) == last[:2] and 100 * (last[2] >> 32) >= percent * n[0]
+            stop = max(len(gram) if whole else len(gram) - 1, 0)
             if stop > 0:
-                last = (int(gram[stop - 1]), int(place[stop - 1]), int(key[stop - 1]))
-            carry = np.stack([gram[max(stop, 0):], place[max(stop, 0):], key[max(stop, 0):]])
-            at = np.flatnonzero((after | before)[:max(stop, 0)])
+                last = tuple(rows[:, stop - 1].tolist())
+            carry = rows[:, stop:]
+            at = np.flatnonzero((after | before | (slot > 0))[:stop])
             hubs = []
-            for g, m, k in zip(gram[at].tolist(), n[at].tolist(), key[at].tolist()):
-                if hub is None or hub[0] != g or 100 * hub[1] < percent * m:
-                    hub = (g, m, k)
-                hubs.append(hub[2])
+            for g, p, m, k in zip(gram[at].tolist(), slot[at].tolist(), n[at].tolist(), key[at].tolist()):
+                if hub is None or hub[:2] != (g, p) or 100 * hub[2] < percent * m:
+                    hub = (g, p, m, k)
+                hubs.append(hub[3])
             if not len(at):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(place[at]), pa.array(key[at]), pa.array(hubs, type=pa.int64())], names=["gram", "place", "key", "hub"])
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
             if (out := settle(np.concatenate([carry, rows], axis=1), False)) is not None:
                 yield out
         if carry.shape[1] and (out := settle(carry, True)) is not None:
             yield out
 
-    return postings.repartition("gram").sortWithinPartitions("gram", "place", "key").mapInArrow(run, "gram long, place long, key long, hub long")
+    return postings.repartition("gram", "slot").sortWithinPartitions("gram", "slot", "place", "key").mapInArrow(run, "gram long, place long, key long, hub long")
 
 
-def _outlines(docs: DataFrame, size: int) -> DataFrame:
-    """(key, n, suffix, body) of each row: the set's size in each of RANGES ranges of hashes, and in
-    about one range for OUTLINE members, each at most 255."""
+def _sets(docs: DataFrame, clashes: frozenset[int], size: int) -> DataFrame:
+    """(key, n, suffix, outline, body) of each set: its size in each of RANGES ranges of hashes, and in
+    about one range for OUTLINE members, each at most 255; and the whole set."""
 
     def held(s: np.ndarray, bits: int) -> bytes:
         return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = RANGES.bit_length() - 1
+        least, seen = RANGES.bit_length() - 1, set()
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
-            sets = [s for s in sets if len(s)]
+            keys, sets = [], []
+            for text in batch.column(0).to_pylist():
+                s = shingles(text, size)
+                if len(s) and (key := node_of(set_key(s), clashes)) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(s)
+            if len(seen) > 500_000:
+                seen.clear()
             wide = [held(s, max(least, (len(s) // OUTLINE).bit_length() - 1)) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([held(s, least) for s in sets], type=pa.binary()), pa.array(wide, type=pa.binary())], names=["key", "n", "suffix", "body"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long, suffix binary, body binary")
+            bodies = ([held(s, least) for s in sets], wide, [s.tobytes() for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), *(pa.array(b, type=pa.binary()) for b in bodies)], names=["key", "n", "suffix", "outline", "body"])
 
-
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(key, n, body) of each row; body has the whole set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["key", "n", "body"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long, body binary")
+    return docs.select("text").mapInArrow(run, "key long, n long, suffix binary, outline binary, body binary")
 
 
 def _may_link(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
@@ -231,20 +279,29 @@ def _do_link(n: int, one: bytes, m: int, two: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _few(df: DataFrame) -> DataFrame:
+def _few(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast if its rows are few; else the join is shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
 
+def _joined(rows: DataFrame, by_key: DataFrame, few: bool) -> DataFrame:
+    """Rows with what ``by_key`` has of their node, once each.  A long set has many rows: where the
+    join is shuffled, they are dealt over SALTS tasks."""
+    if few:
+        return rows.join(F.broadcast(by_key), "key")
+    salted = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
-def _passing(pairs: DataFrame, bodies: DataFrame, percent: int, test: Callable[[int, bytes, int, bytes, int], bool]) -> DataFrame:
+
+def _passing(pairs: DataFrame, many: int, sets: DataFrame, body: str, percent: int, test: Callable[[int, bytes, int, bytes, int], bool]) -> DataFrame:
     """The (hub, key) pairs whose bodies pass the test.  A group is a hub and some of its members,
     about HUB_MEMBERS at most, even if all pairs have one hub; its task holds one batch at a time."""
-    salts = -(-pairs.count() // HUB_MEMBERS) or 1
+    salts = -(-many // HUB_MEMBERS) or 1
     spread = pairs.select("hub", "key", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
     hubs = spread.select(F.col("hub").alias("key"), "salt").distinct()
-    held = bodies.select("key", "n", "body")
-    members = held.join(_few(spread), "key").select("hub", "salt", F.lit(1).alias("member"), "key", "n", "body")
-    rows = members.union(held.join(_few(hubs), "key").select(F.col("key").alias("hub"), "salt", F.lit(0).alias("member"), "key", "n", "body"))
+    held = sets.select("key", "n", F.col(body).alias("body"))
+    members = held.join(_few(spread, many), "key").select("hub", "salt", F.lit(1).alias("member"), "key", "n", "body")
+    rows = members.union(held.join(_few(hubs, many), "key").select(F.col("key").alias("hub"), "salt", F.lit(0).alias("member"), "key", "n", "body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own_n, own = None, 0, b""
@@ -261,15 +318,11 @@ def _passing(pairs: DataFrame, bodies: DataFrame, percent: int, test: Callable[[
     return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(run, "hub long, key long")
 
 
-def _verified(pairs: DataFrame, outlines: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """The (hub, key) pairs that link.  Outlines, a small part of the sets, are compared first; the
-    sets are made, written and shuffled only for what these leave."""
-    near = scratch.write(_passing(pairs, outlines, percent, _may_link), f"{name}-near")
-    nodes = near.select("key").union(near.select("hub")).distinct()
-    sets = scratch.write(_sets(texts_of(nodes, f"{name}-chosen"), size), f"{name}-sets")
-    links = scratch.write(_passing(near, sets, percent, _do_link), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """The (hub, key) pairs that link.  Outlines, a small part of the sets, are compared first; whole
+    sets are shuffled only for what these leave."""
+    near = scratch.write(_passing(pairs, pairs.count(), sets, "outline", percent, _may_link), f"{name}-near")
+    return scratch.write(_passing(near, near.count(), sets, "body", percent, _do_link), f"{name}-links")
 
 
 def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
@@ -341,79 +394,92 @@ def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
     return found.select("hub", "key").distinct()
 
 
-def _united(parts: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+def _united(parts: DataFrame, many: int, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
     """(key, part) after the links, and if any joined two parts: only links between parts, once per pair of parts, are followed."""
-    one, two = (parts.select(F.col("key").alias(k), F.col("part").alias(p)) for k, p in (("hub", "a"), ("key", "b")))
-    between = links.join(one, "hub").join(two, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    moved = components(between, "a", "b", scratch, name).withColumnRenamed("node", "part")
-    if moved.limit(1).count() == 0:
+    one, two = (_few(parts.select(F.col("key").alias(k), F.col("part").alias(p)), many) for k, p in (("hub", "a"), ("key", "b")))
+    moved = components(links.join(one, "hub").join(two, "key"), "a", "b", scratch, name).withColumnRenamed("node", "part")
+    changed = moved.count()
+    if not changed:
         return parts, False
-    return scratch.write(parts.join(moved, "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all"), True
+    return scratch.write(parts.join(_few(moved, changed), "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all"), True
+
+
+def _mixed(tagged: DataFrame) -> DataFrame:
+    """(gram, blocks) of runs that hold several parts; blocks is null up to RUN_ROWS rows."""
+    runs = tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("c")).where("a <> b")
+    return runs.select("gram", F.when(F.col("c") > RUN_ROWS, F.ceil(F.col("c") * 2 / RUN_ROWS)).cast("int").alias("blocks"))
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Rows of runs above RUN_ROWS go to every pair of blocks that theirs is in."""
-    hot = rows.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > RUN_ROWS)
-    if hot.limit(1).count() == 0:
-        return rows
-    blocks = hot.select("gram", F.ceil(F.col("c") * 2 / RUN_ROWS).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "gram", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode_outer(F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1))))
     gram = F.when(F.col("blocks").isNull(), F.col("gram")).otherwise(F.xxhash64("gram", F.least("block", "other"), F.greatest("block", "other")))
-    return dealt.select(gram.alias("gram"), "place", "key", "part", "suffix")
+    return dealt.select(gram.alias("gram"), "place", "key", "part")
 
 
-def cluster(docs: DataFrame, scratch: Scratch, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = scratch.write(_scan(docs, size), "scanned")
-    info = scanned.where("chunk is null").select("doc_id", "n", "key")
-    sketch = spark.sparkContext.broadcast(_sketch(scanned))
-    live = scratch.write(_live(_postings(docs, sketch, size, percent), percent), "live")
-    sketch.unpersist()
-    first = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    nodes = live.select("key").distinct()
+def _rid() -> F.Column:
+    """What rows are joined back to their texts by, beside the text's hash: rows without an id are not one group."""
+    return F.coalesce("doc_id", "hash")
 
-    def texts_of(some: DataFrame, name: str) -> DataFrame:
-        return _texts_of(docs, info, some, scratch, name)
 
-    outlines = scratch.write(_outlines(texts_of(nodes, "chosen"), size), "outlines")
+def _scanned(df: DataFrame, scratch: Scratch, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, frozenset[int]]:
+    """The texts, the stored first pass, its rows of documents (doc_id, hash, n, key), and the clashing keys."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    scanned = scratch.write(_scan(docs, size), "scanned")
+    info = scanned.where("chunk is null and gram is null")
+    clashes = _clashes(info)
+    key = F.when(F.col("key").isin(*clashes), F.col("more")).otherwise(F.col("key")) if clashes else F.col("key")
+    return docs, scanned, info.select("doc_id", "hash", "n", key.alias("key")), clashes
+
+
+def classes(df: DataFrame, scratch: Scratch, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, n, key) of every row, and (key, part) of the sets that may link: equal parts are one component."""
+    docs, scanned, info, clashes = _scanned(df, scratch, size, id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast((_sketch(scanned), _heavy(scanned), clashes))
+    live = scratch.write(_live(_postings(docs, shared, size, percent), percent), "live")
+    shared.unpersist()
     star = live.where("hub <> key").groupBy("key", "hub").agg(F.count("*").alias("c"))
-    star = star.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
-    links = _verified(scratch.write(star, "star"), outlines, texts_of, scratch, "star", size, percent)
-    parts, _ = _united(nodes.withColumn("part", F.col("key")), links, scratch, "star-parts")
-    rows, joined = live, True
+    star = scratch.write(star.groupBy("key").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key"), "star")
+    parts = scratch.write(live.select("key").distinct().withColumn("part", F.col("key")), "nodes")
+    many = parts.count()
+    few = many <= BROADCAST_ROWS
+    chosen = info.join(_few(parts.select("key"), many), "key", "left_semi").groupBy("key").agg(F.min(F.struct(_rid().alias("rid"), "hash")).alias("c")).select("c.rid", "c.hash")
+    texts = docs.withColumn("rid", _rid()).join(_few(chosen, many), ["rid", "hash"], "left_semi")
+    sets = scratch.write(_sets(texts, clashes, size), "sets")
+    parts, _ = _united(parts, many, _verified(star, sets, scratch, "star", percent), scratch, "star-parts")
+    rows, joined = live.select("gram", "place", "key"), True
     for turn in range(CLOSEST_ROUNDS + 1):
         closest = joined and turn < CLOSEST_ROUNDS
         name = f"closest-{turn}" if closest else "every"
-        tagged = rows.select("gram", "place", "key").join(_few(parts), "key")
-        mixed = scratch.write(tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("gram"), f"{name}-mixed")
-        if mixed.limit(1).count() == 0:
+        tagged = _joined(rows, parts, few)
+        mixed = scratch.write(_mixed(tagged), f"{name}-mixed")
+        runs = mixed.count()
+        if not runs:
             break
-        rows = scratch.write(tagged.join(_few(mixed), "gram", "left_semi").select("gram", "place", "key", "part"), f"{name}-rows")
-        pairs = scratch.write(_crossing(_in_blocks(rows.join(outlines.select("key", "suffix"), "key").select("gram", "place", "key", "part", "suffix")), percent, closest), f"{name}-pairs")
-        parts, joined = _united(parts, _verified(pairs, outlines, texts_of, scratch, name, size, percent), scratch, f"{name}-parts")
+        mixing = scratch.write(tagged.join(_few(mixed, runs), "gram"), f"{name}-rows")
+        rows = mixing.select("gram", "place", "key")
+        suffixes = _joined(_in_blocks(mixing), sets.select("key", "suffix"), many <= BROADCAST_ROWS // 8)
+        pairs = scratch.write(_crossing(suffixes.select("gram", "place", "key", "part", "suffix"), percent, closest), f"{name}-pairs")
+        if not pairs.count():
+            break
+        parts, joined = _united(parts, many, _verified(pairs, sets, scratch, name, percent), scratch, f"{name}-parts")
         if not closest:
             break
-    found = parts.withColumnRenamed("part", "component")
-    named = first.join(found, "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "component").select("key", "component_id")
-    out = info.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out
-
-
-def _row_id(column: str) -> F.Column:
-    """The id for joins back to the texts; all null ids share one, and what they bring too much is not used."""
-    return F.coalesce(column, F.lit(-(1 << 63)))
+    parts = scratch.write(parts, "parts")
+    scratch.only("scanned", "parts")
+    return info, parts
 
 
-def _texts_of(docs: DataFrame, info: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The texts of the given nodes, each from a document of theirs."""
-    chosen = info.join(nodes, "key", "left_semi").groupBy("key").agg(F.min(_row_id("doc_id")).alias("id")).select("id").distinct()
-    chosen = scratch.write(chosen, name)
-    return docs.withColumn("id", _row_id("doc_id")).join(_few(chosen), "id", "left_semi")
+def cluster(df: DataFrame, scratch: Scratch, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: doc_id, n_shingles, component_id."""
+    info, parts = classes(df, scratch, size, percent, id_col, text_col)
+    first = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    named = first.join(parts, "key", "left").select("key", "first", F.coalesce("part", "key").alias("part"))
+    least = named.groupBy("part").agg(F.min("first").alias("component_id"))
+    ids = named.join(least, "part").select("key", "component_id")
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return info.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,19 +488,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Of each component one document stays, the one that names it, with its columns.
-
-    Rows that repeat id and text become one.  Rows without an id stay, as do those without words.
+    """Of each component one document stays with all its columns, whatever their names: the one of
+    the least id, and of rows with that id the one whose text has the least hash; rows without an
+    id come last.  Rows that repeat id and text become one; null and wordless texts all stay.
     """
     text_batches(spark, BATCH_ROWS)
     scratch = Scratch(spark)
-    found = scratch.write(cluster(docs, scratch, size, percent), "classes")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    ids = kept.select(F.col("doc_id").alias("kept_id")).union(spark.range(1).select(F.lit(-(1 << 63)).alias("kept_id")))
-    out = docs.join(_few(ids), _row_id("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = kept.where("rows > 1").select(F.col("doc_id").alias("kept_id"))
-    if repeated.limit(1).count() == 0:
-        return out
-    twice = _few(repeated)
-    same = out.join(twice, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("kept_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "kept_hash"]).drop("kept_hash")
-    return out.join(twice, F.col("doc_id") == F.col("kept_id"), "left_anti").union(same)
+    info, parts = classes(docs, scratch, size, percent)
+    named = info.where("key is not null").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    kept = named.groupBy("part", "doc_id", "hash").agg(F.count("*").alias("rows")).groupBy("part").agg(F.min(F.struct(first.alias("first"), "rows")).alias("best"))
+    rid, text, own = (fresh(x, docs) for x in ("kept_rid", "kept_text", "kept_rows"))
+    kept = kept.select(F.coalesce("best.first.doc_id", "best.first.hash").alias(rid), F.col("best.first.hash").alias(text), F.col("best.rows").alias(own))
+    wordless = info.where("key is null").select(_rid().alias(rid), F.col("hash").alias(text), F.lit(1).cast("long").alias(own)).distinct()
+    kept = scratch.write(kept.union(wordless), "kept")
+    many, repeats = kept.agg(F.count("*"), F.count_if(F.col(own) > 1)).first()
+    hashed = docs.withColumns({text: F.xxhash64("text"), rid: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))})
+    out = hashed.join(_few(kept.where(F.col(own) == 1), many), [rid, text], "left_semi").drop(rid, text)
+    if repeats:
+        same = hashed.join(_few(kept.where(F.col(own) > 1), repeats), [rid, text], "left_semi")
+        out = out.unionByName(same.dropDuplicates([rid, text]).drop(rid, text))
+    return out

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tessera.llm import jaccard
+from tessera.llm import components, jaccard
 from tessera.llm.common import Scratch
 from tests.llm.conftest import DOC_SCHEMA
 
@@ -71,20 +71,45 @@ def test_against_brute_force(spark, seed):
 def test_hot_runs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RUN_ROWS", 6)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(components, "FEW_LINKS", 2)
     monkeypatch.setattr(jaccard, "HUB_MEMBERS", 2)
     rows = near_copies(9, groups=5, each=40)
     df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(5)
     assert got(jaccard.cluster(df, Scratch(spark))) == brute(rows)
 
 
+def test_halves_of_digests_agree(spark, monkeypatch):
+    real = jaccard.set_key
+    monkeypatch.setattr(jaccard, "set_key", lambda grams: (real(grams)[0] % 7, real(grams)[1]))
+    rows = near_copies(3, groups=6, each=5)
+    df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    scratch = Scratch(spark)
+    assert len(jaccard._scanned(df, scratch, 4, "doc_id", "text")[3]) > 3
+    assert got(jaccard.cluster(df, Scratch(spark))) == brute(rows)
+
+
+def test_heavy_grams_in_slots(spark, monkeypatch):
+    """A passage rarer than nothing else in a third of all rows: its runs are dealt in slots and blocks."""
+    monkeypatch.setattr(jaccard, "RUN_ROWS", 20)
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 100)
+    rnd = random.Random(4)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join(passage + [f"w{rnd.randrange(50)}" for _ in range(rnd.choice([2, 4, 6]))]) if k % 3 == 0 else f"own text {k} of few words", "en", "a", 1) for k in range(400)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(2)
+    docs, scanned, *_ = jaccard._scanned(df, Scratch(spark), 4, "doc_id", "text")
+    assert max(jaccard._heavy(scanned).values()) > 3
+    assert got(jaccard.cluster(df, Scratch(spark))) == brute(rows)
+
+
 def test_edges(spark, docs_rows):
     long = " ".join(f"t{k % 997}x{k}" for k in range(20_000))
     rows = [*docs_rows, (8, " \t\n", None, None, None), (None, "plain words here\nnext line of WORDS", None, None, None), (None, None, None, None, None), (None, "only without an id", None, None, None),
             (4, "plain words here\nnext line of words", "x", "x", 1), (30, long, "en", "a", 1), (31, long + " more", "en", "a", 1)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], DOC_SCHEMA + ", component_id int")
+    rows += [(40, "", "en", "a", 1), (40, "", "en", "a", 1), (41, "one id of two texts", "en", "a", 1), (41, "quite another text of that id", "en", "a", 1), (42, "one ID of two texts", "en", "a", 1)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOC_SCHEMA + ", component_id int, kept_id int, KEPT_hash int")
     assert got(jaccard.cluster(df, Scratch(spark))) == brute(rows)
     kept = jaccard.deduplicate(spark, df, "")
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, 8, 30, None, None, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 7, 8, 30, 40, 40, 41, 41, None, None], key=str)
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert jaccard.cluster(empty, Scratch(spark)).count() == 0 and jaccard.deduplicate(spark, empty, "").count() == 0
