@@ -1,12 +1,15 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 Packing depends only on how many pieces have each length, a table of at most ``capacity`` counts
-whatever the number of documents.  ``solve`` fills bins around the longest piece left: it
-enumerates fillings of the rest of the bin, fullest first, none dominated by swapping a member for
-a longer piece that still fits.  While many pieces are left a filling is used as often as the counts
-allow; the last ones are searched by branch and bound, where the waste that a better solution may
-still have prunes, and the best-fit solution is the first incumbent.  If all this reaches the lower
-bound on the number of bins it is optimal.
+whatever the number of documents.  ``solve`` searches it depth first.  A node fills bins around the
+longest piece left: it enumerates fillings of the rest of the bin, fullest first, none dominated by
+swapping a member for a longer piece that still fits; a branch gives a filling to several bins at
+once, at first to half of those that the counts allow (a supply of many lengths is what makes later
+bins full), last to single ones, so no solution is out of reach.  A node goes when the bins so far
+and the least that the rest needs, which is the waste that a better solution may still have, do not
+beat the incumbent, or when the same pieces were left before with as few bins.  The best-fit solution is the first
+incumbent; the search ends at the lower bound on the number of bins, which is then optimal, or after
+NODES nodes beyond its first descent for each of two orders of branches, with the best found by then.
 
 Pieces then get their places by rank among the pieces of their length: counts per (length, file
 partition) give every partition its first rank, so no task ever holds all pieces of one length.
@@ -29,10 +32,9 @@ from tessera.llm.common import Scratch, table, text_batches
 from tessera.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Pieces up to which the search is exhaustive, within NODES steps.
-TAIL = 40
-NODES = 20_000
-#: Fillings compared at each step, and steps of the search for one.
+#: Nodes of the search beyond its first descent, for each order of branches.
+NODES = 4000
+#: Fillings compared at each node, and steps of their enumeration.
 FILLINGS = 12
 FILL_STEPS = 400
 
@@ -41,16 +43,14 @@ Pattern = tuple[tuple[int, int], ...]  # (length, copies)
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """At least this many bins: by sum, and by pieces too long to share one with those of k and more."""
-    lengths = np.arange(len(counts))
-    best = -(-int((counts * lengths).sum()) // capacity)
+    lengths, half = np.arange(len(counts)), capacity // 2
     below, mass = np.cumsum(counts), np.cumsum(counts * lengths)
-    for k in range(0, capacity // 2 + 1):
-        big = int(counts[capacity - k + 1:].sum()) if k else 0
-        mid = int(below[capacity - k] - below[capacity // 2])
-        small = int(mass[capacity // 2] - (mass[k - 1] if k else 0))
-        room = mid * capacity - int(mass[capacity - k] - mass[capacity // 2])
-        best = max(best, big + mid + max(0, -(-(small - room) // capacity)))
-    return best
+    k = np.arange(half + 1)
+    mid = below[capacity - k] - below[half]
+    small = mass[half] - np.where(k > 0, mass[k - 1], 0)
+    room = mid * capacity - (mass[capacity - k] - mass[half])
+    needed = below[capacity] - below[half] + np.maximum(0, -((room - small) // capacity))
+    return max(-(-int(mass[-1]) // capacity), int(needed.max()))
 
 
 def _fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
@@ -95,6 +95,8 @@ def _fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]
 
     def dominated(filling: tuple[int, ...]) -> bool:
         slack = room - sum(filling)
+        if not slack:
+            return False
         for length in {0, *filling}:
             better = left[length + 1:length + slack + 1].copy()
             for other in filling:
@@ -131,54 +133,97 @@ def _best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...],
     return bins
 
 
-def _complete(counts: np.ndarray, capacity: int, limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """Branch and bound over fillings for few pieces; at most NODES steps, the best found by then."""
-    best = _best_fit(counts, capacity)
-    best_n = sum(t for _, t in best)
-    lengths, nodes = np.arange(len(counts)), NODES
-
-    def search(left: np.ndarray, chosen: list[tuple[int, ...]]) -> None:
-        nonlocal best, best_n, nodes
-        nodes -= 1
-        rest = int((left * lengths).sum())
-        if not rest:
-            if len(chosen) < best_n:
-                best, best_n = [(c, 1) for c in chosen], len(chosen)
-            return
-        if nodes <= 0 or best_n <= limit or len(chosen) + lower_bound(left, capacity) >= best_n:
-            return
-        longest = int(np.flatnonzero(left)[-1])
-        less = left.copy()
-        less[longest] -= 1
-        for filling in _fillings(less, capacity - longest, 10 * FILLINGS):
-            after = less - np.bincount(filling, minlength=len(less)) if filling else less
-            search(after, [*chosen, (longest, *filling)])
-            if nodes <= 0 or best_n <= limit:
-                return
-
-    search(counts, [])
-    return best
+class _Search:
+    """One depth-first search over a table of counts for at most ``target`` bins, and then for fewer."""
+
+    def __init__(self, counts: np.ndarray, capacity: int, target: int, limit: int, share: int):
+        self.left, self.capacity, self.target, self.limit, self.share = counts.copy(), capacity, target, limit, share
+        self.rest = int((counts * np.arange(len(counts))).sum())
+        self.used, self.nodes, self.ended = 0, NODES, False
+        self.bins: list[tuple[tuple[int, ...], int]] = []
+        self.best: list[tuple[tuple[int, ...], int]] | None = None
+        self.seen: dict[int, int] = {}
+
+    def _branches(self) -> Iterator[tuple[tuple[int, ...], int]]:
+        """The first full filling, then, when the search comes back, all others and other numbers of bins."""
+        longest = int(np.flatnonzero(self.left)[-1])
+        first = self._picks(longest, 1)[0]
+        yield first[0], max(1, first[1] // self.share)
+        picks = self._picks(longest, FILLINGS)
+        yield from ((p, max(1, t // self.share)) for p, t in picks if p != first[0])
+        for p, t in picks:
+            n = t
+            while n >= 1:
+                if n != max(1, t // self.share):
+                    yield p, n
+                n //= 2
+
+    def _picks(self, longest: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+        self.left[longest] -= 1
+        fillings = _fillings(self.left, self.capacity - longest, most)
+        self.left[longest] += 1
+        return [((longest, *f), _times(self.left, (longest, *f))) for f in fillings]
+
+    def _put(self, pieces: tuple[int, ...], times: int) -> None:
+        """``times`` bins of these pieces; a negative number takes them back."""
+        np.subtract.at(self.left, list(pieces), times)
+        self.rest -= sum(pieces) * times
+        self.used += times
+
+    def _open(self) -> bool:
+        """If what is left may still make a solution that counts."""
+        if self.used + lower_bound(self.left, self.capacity) > self.target:
+            return False
+        state = hash(self.left.tobytes())
+        if self.seen.get(state, self.used + 1) <= self.used:
+            return False
+        self.seen[state] = self.used
+        return True
+
+    def run(self) -> list[tuple[tuple[int, ...], int]] | None:
+        stack = [self._branches()]
+        while stack and self.nodes > 0:
+            branch = next(stack[-1], None)
+            if branch is None:
+                stack.pop()
+                if self.bins:
+                    pieces, times = self.bins.pop()
+                    self._put(pieces, -times)
+                continue
+            self.nodes -= self.ended
+            self._put(*branch)
+            if self.rest and self._open():
+                self.bins.append(branch)
+                stack.append(self._branches())
+                continue
+            self.ended = True
+            if not self.rest and self.used <= self.target:
+                self.best, self.target = [*self.bins, branch], self.used - 1
+                if self.used <= self.limit:
+                    break
+            self._put(branch[0], -branch[1])
+        return self.best
+
+
+def searched(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """Bins, and if the search found them; else they are the first incumbent."""
+    counts = np.asarray(counts, dtype=np.int64).copy()
+    counts[0] = 0
+    best, found, limit = _best_fit(counts, capacity), False, lower_bound(counts, capacity)
+    if not counts.any():
+        return best, found
+    for share in (2, 1):
+        many = sum(t for _, t in best)
+        if better := _Search(counts, capacity, max(limit, many - 1), limit, share).run():
+            best, found = better, True
+        if sum(t for _, t in best) <= limit and found:
+            break
+    return best, found
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """Fillings and how many bins get each; ``counts[n]`` pieces have length n, 1 to capacity."""
-    counts = np.asarray(counts, dtype=np.int64).copy()
-    counts[0] = 0
-    limit, bins = lower_bound(counts, capacity), []
-    plain, left = _best_fit(counts, capacity), counts.copy()
-    while left.sum() > TAIL:
-        longest = int(np.flatnonzero(left)[-1])
-        less = left.copy()
-        less[longest] -= 1
-        options = [(longest, *f) for f in _fillings(less, capacity - longest, 1)]
-        pick = max(options, key=lambda f: (sum(f), _times(left, f)))
-        # leave some of every length: a supply of many lengths is what makes later bins full
-        times = max(1, _times(left, pick) // 2) if left.sum() > 50 * TAIL and sum(pick) > longest else _times(left, pick)
-        left = left - np.bincount(pick, minlength=len(left)) * times
-        bins.append((pick, times))
-    bins += _complete(left, capacity, lower_bound(left, capacity))
-    if sum(t for _, t in bins) > limit and sum(t for _, t in plain) < sum(t for _, t in bins):
-        bins = plain
+    bins, _ = searched(counts, capacity)
     merged: dict[Pattern, int] = {}
     for pieces, times in bins:
         need = np.bincount(pieces)
@@ -233,7 +278,8 @@ def pack(df: DataFrame, tokenizer: str, scratch: Scratch, end_id: int = 0, capac
         counts[r.length] = r.n
     plan = places(solve(counts, capacity))
     before = held.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # a row per length and file, which grows with the table: never sent to the driver or to all executors
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = int(counts.max()) + 1
