@@ -45,8 +45,11 @@ SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 RANGES = 64
 #: Members of a set for each range of its outline, by which a pair is compared before whole sets are.
 OUTLINE = 4
-#: Rows of a run above which it is dealt in blocks of half as many, or in slots.
-RUN_ROWS = 20_000
+#: Rows of a run above which it is dealt in blocks of half as many; c rows above the square of
+#: RUN_ROWS / RUN_ROOTS in blocks of half RUN_ROOTS * sqrt(c), so a row is copied 2 * sqrt(c) / RUN_ROOTS times.
+RUN_ROWS, RUN_ROOTS = 1000, 20
+#: Rows of a slot of an n-gram that very many sets hold.
+SLOT_ROWS = 20_000
 #: An n-gram is looked at as one that very many sets hold if one in so many of a batch does, and is
 #: one if of all sets one in HEAVY_SETS does; so there are at most HEAVY_SETS times a set's mean size.
 HEAVY_BATCH, HEAVY_SETS = 20, 1000
@@ -116,11 +119,11 @@ def _clashes(info: DataFrame) -> frozenset[int]:
 
 def _heavy(scanned: DataFrame) -> dict[int, int]:
     """N-grams that very many sets hold, and in how many slots their rows are dealt."""
-    held = scanned.where("gram is not null").groupBy("gram").agg(F.sum("held").alias("held")).where(F.col("held") > RUN_ROWS)
+    held = scanned.where("gram is not null").groupBy("gram").agg(F.sum("held").alias("held")).where(F.col("held") > SLOT_ROWS)
     if held.limit(1).count() == 0:
         return {}
     least = scanned.where("n > 0").count() / HEAVY_SETS
-    return {r.gram: -(-r.held // RUN_ROWS) for r in held.where(F.col("held") >= least).collect()}
+    return {r.gram: -(-r.held // SLOT_ROWS) for r in held.where(F.col("held") >= least).collect()}
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -407,7 +410,8 @@ def _united(parts: DataFrame, many: int, links: DataFrame, scratch: Scratch, nam
 def _mixed(tagged: DataFrame) -> DataFrame:
     """(gram, blocks) of runs that hold several parts; blocks is null up to RUN_ROWS rows."""
     runs = tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("c")).where("a <> b")
-    return runs.select("gram", F.when(F.col("c") > RUN_ROWS, F.ceil(F.col("c") * 2 / RUN_ROWS)).cast("int").alias("blocks"))
+    blocks = F.ceil(F.col("c") * 2 / F.greatest(F.lit(RUN_ROWS), F.sqrt("c") * RUN_ROOTS))
+    return runs.select("gram", F.when(F.col("c") > RUN_ROWS, blocks).cast("int").alias("blocks"))
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:

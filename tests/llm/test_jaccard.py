@@ -70,6 +70,7 @@ def test_against_brute_force(spark, seed):
 
 def test_hot_runs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RUN_ROWS", 6)
+    monkeypatch.setattr(jaccard, "RUN_ROOTS", 1)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
     monkeypatch.setattr(components, "FEW_LINKS", 2)
     monkeypatch.setattr(jaccard, "HUB_MEMBERS", 2)
@@ -90,7 +91,9 @@ def test_halves_of_digests_agree(spark, monkeypatch):
 
 def test_heavy_grams_in_slots(spark, monkeypatch):
     """A passage rarer than nothing else in a third of all rows: its runs are dealt in slots and blocks."""
+    monkeypatch.setattr(jaccard, "SLOT_ROWS", 20)
     monkeypatch.setattr(jaccard, "RUN_ROWS", 20)
+    monkeypatch.setattr(jaccard, "RUN_ROOTS", 2)
     monkeypatch.setattr(jaccard, "BATCH_ROWS", 100)
     rnd = random.Random(4)
     passage = [f"p{k}" for k in range(30)]
