@@ -60,11 +60,14 @@ def brute(rows):
     return links, out
 
 
-@pytest.mark.parametrize("leaf", [2048, 30])
-def test_near_duplicates(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf,sample", [(2048, 20_000), (30, 100)])
+def test_near_duplicates(spark, monkeypatch, leaf, sample):
+    """The second case refits leaves, as the first sample carries two cuts, and deals groups in blocks."""
     monkeypatch.setattr(forest, "LEAF_ROWS", leaf)
-    monkeypatch.setattr(forest, "AIM_ROWS", 100)
+    monkeypatch.setattr(forest, "AIM_ROWS", 40)
+    monkeypatch.setattr(forest, "SAMPLE", sample)
     rows = [*made(2), *ODD, (9501, [1.0, 2.0], 1, 0), (9700, [1.0] * 16, None, 0), (None, [1.0] * 16, 1, 0), (9800, [1.0] * 16, 1, 0), (9800, [1.0] * 16, 1, 0)]
+    rows += [(9900 + k, [3.0] + [0.0] * 15, 2, 0) for k in range(50)] + [(9950, [1e30] + [0.0] * 15, 2, 0), (9951, [1e-38] + [0.0] * 15, 2, 0)]
     got = forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), Scratch(spark)).collect()
     links, part = brute(rows)
     assert len(got) == len(rows)
@@ -78,5 +81,17 @@ def test_near_duplicates(spark, monkeypatch, leaf):
     assert all(r.n_links <= max(n for n, _ in by_id[r.vec_id]) and r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_trees_go_on_below_the_first_sample(spark, monkeypatch):
+    monkeypatch.setattr(forest, "AIM_ROWS", 20)
+    monkeypatch.setattr(forest, "SAMPLE", 100)
+    monkeypatch.setattr(forest, "LEAF_SAMPLE", 150)
+    scratch, rows = Scratch(spark), made(5, 3000)
+    nodes = forest._rows(spark.createDataFrame(rows, SCHEMA).repartition(4), "<f4", "vec_id", "embedding", "label").withColumns({"node": F.col("row"), "copies": F.lit(1).cast("long")})
+    trees, sizes = forest.fitted(scratch.write(nodes, "n"), 16, "<f4", scratch)
+    assert min(int(t.places.max()).bit_length() for t in trees) >= 6  # the first sample carries two
+    held = sizes.groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+    assert np.median([r.n for r in held]) <= 40
+
+
 def test_near_duplicates_of_nothing(spark):
     assert forest.near_duplicates(spark.createDataFrame([], SCHEMA), Scratch(spark)).count() == 0
