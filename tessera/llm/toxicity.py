@@ -37,7 +37,8 @@ FIT_CHARS = 40_000
 WINDOW = 8
 #: Characters of a word; longer ones, as in text without white space, are scored in pieces.
 LONGEST = 64
-BUCKETS, WIDTH = 1 << 18, 8
+BUCKET_BITS, WIDTH = 18, 8
+BUCKETS = 1 << BUCKET_BITS
 EPOCHS = (40, 40, 40)
 #: Training documents that must share an n-gram; others embed to zero, so what one document has alone is not learnt by heart.
 LEAST_DOCS = 4
@@ -48,6 +49,7 @@ DECAY = 0.01
 THRESHOLD = 0.7
 #: Raw tokens that a worker remembers.
 MEMO_WORDS = 300_000
+_BASE, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -64,13 +66,23 @@ def pieces(word: str) -> list[str]:
     return [word[a:a + LONGEST] for a in range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)]
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the word and of its character 3- to 5-grams with both ends marked."""
-    marked = f"<{word}>"
-    found = {marked}
-    for n in (3, 4, 5):
-        found.update(marked[i:i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode()) % BUCKETS for g in found]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of each word itself and of its character 3- to 5-grams with both ends marked."""
+    marked = [f"<{w}>" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(m) for m in marked], dtype=np.int64)
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    room = np.cumsum(sizes)[owner] - np.arange(len(code))
+    own = [np.arange(len(marked))]
+    buckets = [np.array([zlib.crc32(m.encode()) % BUCKETS for m in marked], dtype=np.int64)]
+    rolled = code.copy()
+    for n in range(2, 6):
+        rolled = rolled[:-1] * _BASE + code[n - 1:]
+        if n > 2:
+            at = np.flatnonzero(room[:len(rolled)] >= n)
+            own.append(owner[at])
+            buckets.append(((rolled[at] * _SPREAD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+    return np.concatenate(own), np.concatenate(buckets)
 
 
 def held_out(doc_id) -> F.Column:
@@ -97,8 +109,10 @@ class Model:
     def score(self, logit: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30))))
 
-    def word_value(self, word: str) -> float:
-        return float(self.value[grams(word)].mean())
+    def word_values(self, words: list[str]) -> np.ndarray:
+        """Of each word the mean over its n-grams."""
+        own, buckets = grams(words)
+        return np.bincount(own, weights=self.value[buckets], minlength=len(words)) / np.bincount(own, minlength=len(words))
 
 
 def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Model | None:
@@ -118,14 +132,16 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 7) -> Mod
     owner = np.repeat(np.arange(len(parts), dtype=np.int32), count)
     starts = np.arange(len(owner)) + owner * (WINDOW - 1)
     y_doc = np.array(y_of)
-    lists = [np.array(grams(w), dtype=np.int32) for w in index]
-    sizes = np.array([len(g) for g in lists], dtype=np.float32)
-    word_of, bucket_of = np.repeat(np.arange(len(lists), dtype=np.int32), sizes.astype(int)), np.concatenate(lists)
+    word_of, bucket_of = grams(list(index))
+    order = np.argsort(word_of, kind="stable")
+    word_of, bucket_of = word_of[order].astype(np.int32), bucket_of[order].astype(np.int32)
+    stops = np.cumsum(np.bincount(word_of, minlength=len(index)))
+    sizes = np.diff(stops, prepend=0).astype(np.float32)
     held = np.zeros(BUCKETS, dtype=np.int32)  # documents that hold each n-gram
     for p, n in zip(parts, sizes_of):
-        held[np.unique(np.concatenate([lists[k] for k in np.unique(p[:n])]))] += 1
+        held[np.unique(np.concatenate([bucket_of[stops[k] - int(sizes[k]):stops[k]] for k in np.unique(p[:n]).tolist()]))] += 1
     used = np.flatnonzero(held >= LEAST_DOCS)
-    del lists, index, held
+    del index, held, order
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[used] = np.arange(len(used))
     kept = place[bucket_of] >= 0
@@ -219,7 +235,7 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 class _Values:
-    """Of a worker: the values of a text's words, looked up by what stands between white space."""
+    """Of a worker: the values of texts' words, looked up by what stands between white space."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -228,39 +244,44 @@ class _Values:
     def clear(self) -> None:
         self.number: dict[str, int] = {"": 0}  # of raw tokens; 0: no word, -1: a long one, in pieces
         self.known: dict[str, int] = {"": 0}  # of words
-        self.value = np.zeros(1024)
-
-    def _add(self, token: str) -> int:
-        word = token.strip(_EDGE)
-        if len(word) > LONGEST:
-            return -1
-        n = self.known.setdefault(word, len(self.known))
-        if n == len(self.known) - 1 and n:
-            if n == len(self.value):
-                self.value = np.concatenate([self.value, np.zeros(n)])
-            self.value[n] = self.model.word_value(word)
-        return n
-
-    def __call__(self, text: str) -> np.ndarray:
-        """As ``words``: stripped, long ones in pieces, a run of one word once."""
+        self.value = np.zeros(1)
+
+    def _learn(self, tokens: set[str]) -> None:
+        new = []
+        for token in tokens:
+            word = token.strip(_EDGE)
+            if len(word) > LONGEST:
+                self.number[token] = -1
+            else:
+                n = self.number[token] = self.known.setdefault(word, len(self.known))
+                if n == len(self.value) + len(new):
+                    new.append(word)
+        if new:
+            self.value = np.concatenate([self.value, self.model.word_values(new)])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """As ``words`` of each: stripped, long ones in pieces, a run of one word once."""
         if len(self.number) > MEMO_WORDS:
             self.clear()
-        tokens = text.lower().split()
-        found = list(map(self.number.get, tokens))
-        if None in found:
-            for k, n in enumerate(found):
-                if n is None:
-                    n = self._add(tokens[k])
-                    if n >= 0:
-                        self.number[tokens[k]] = n
-                    found[k] = n
-        if -1 in found:
-            return np.array([self.model.word_value(w) for w in words(text)])
-        n = np.array(found, dtype=np.int64)
-        keep = np.ones(len(n), dtype=bool)
-        keep[1:] = n[1:] != n[:-1]
-        keep &= n > 0
-        return self.value[n[keep]]
+        tokens = [t.lower().split() for t in texts]
+        get, new = self.number.get, set()
+        found = [list(map(get, own)) for own in tokens]
+        for own, numbers in zip(tokens, found):
+            if None in numbers:
+                new.update(t for t, n in zip(own, numbers) if n is None)
+        self._learn(new)
+        out = []
+        for text, own, numbers in zip(texts, tokens, found):
+            if None in numbers:
+                numbers = list(map(get, own))
+            if -1 in numbers:
+                out.append(self.model.word_values(words(text)))
+                continue
+            n = np.array(numbers, dtype=np.int64)
+            keep = n > 0
+            keep[1:] &= n[1:] != n[:-1]
+            out.append(self.value[n[keep]])
+        return out
 
 
 def score(docs: DataFrame, model: Model | None, out_col: str = "toxic_score") -> DataFrame:
@@ -273,10 +294,9 @@ def score(docs: DataFrame, model: Model | None, out_col: str = "toxic_score") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = model and _Values(model)
         for batch in batches:
-            scores = []
-            for text in batch.column(at).to_pylist():
-                bag = values(text) if text and model else ()
-                scores.append(model.score(model.logit(bag)) if len(bag) else 0.0)
+            texts = batch.column(at).to_pylist()
+            bags = values([t or "" for t in texts]) if model else [()] * len(texts)
+            scores = [model.score(model.logit(bag)) if len(bag) else 0.0 for bag in bags]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, type=pa.float64())], names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, schema)

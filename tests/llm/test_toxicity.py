@@ -60,8 +60,8 @@ def test_every_window_is_scored():
     fitted = toxicity.fit(texts, [k % 2 for k in range(40)], 0.5)
     scores = []
     for lead in range(4):
-        values = [fitted.word_value(w) for w in clean[:lead + 1][::-1] + ["vile"] + clean[:6] + ["foul"] + clean]
-        scores.append(fitted.logit(np.array(values)))
+        values = fitted.word_values(clean[:lead + 1][::-1] + ["vile"] + clean[:6] + ["foul"] + clean)
+        scores.append(fitted.logit(values))
     best = max(sum(values[a:a + 8]) for a in range(len(values) - 7)) / 8 + fitted.bias
     assert abs(scores[-1] - best) < 1e-6 and max(scores) - min(scores) < 1e-6
 
@@ -73,7 +73,7 @@ def test_all_of_a_long_word_is_scored():
         assert any("abominator" in w for w in toxicity.words(glued)) and toxicity.words("short " + glued)[0] == "short"
         assert all(any(glued[a:a + 5] in w for w in toxicity.words(glued)) for a in range(len(glued) - 5))
     fitted = toxicity.fit([f"word{k % 3} " + ("abominator" if k % 2 else "harmless") for k in range(40)], [k % 2 for k in range(40)], 0.5)
-    one, two = (fitted.logit(np.array([fitted.word_value(w) for w in toxicity.words(clean[:-1] + t)])) for t in ("harmless", "abominator"))
+    one, two = (fitted.logit(fitted.word_values(toxicity.words(clean[:-1] + t))) for t in ("harmless", "abominator"))
     assert one < two
     assert max(len(w) for w in toxicity.words("x" * 5000 + " y")) <= toxicity.LONGEST and toxicity.pieces("x" * 64) == ["x" * 64]
 
@@ -89,8 +89,13 @@ def plain_score(model, text):
     values = []
     for w in bag:
         marked = f"<{w}>"
-        parts = {marked} | {marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-        values.append(sum(float(model.value[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in parts) / len(parts))
+        buckets = [zlib.crc32(marked.encode()) % toxicity.BUCKETS]
+        for gram in (marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)):
+            rolled = 0
+            for c in gram:
+                rolled = (rolled * 0x100000001B3 + ord(c)) % 2**64
+            buckets.append(rolled * 0x9E3779B97F4A7C15 % 2**64 >> 46)
+        values.append(sum(float(model.value[b]) for b in buckets) / len(buckets))
     windows = [sum(values[a:a + 8]) / 8 for a in range(max(1, len(values) - 7))]
     return 1 / (1 + math.exp(-min(30, max(-30, model.slope * (max(windows) + model.bias) + model.shift))))
 
