@@ -229,15 +229,20 @@ def masked(text: str, sensitive: frozenset[int]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns, the texts masked and n_chars as the texts then are."""
-    sensitive, at, n = train(docs), docs.columns.index("text"), docs.columns.index("n_chars")
+    """All rows and columns, the texts masked and n_chars, where there is one, as the texts then are.
+
+    Null and empty texts, and texts without spans, stay as they are, with their n_chars; an empty table stays empty.
+    """
+    sensitive, at = train(docs), docs.columns.index("text")
+    n = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, texts = list(batch.columns), batch.column(at).to_pylist()
             out = [t and masked(t, sensitive) for t in texts]
             columns[at] = pa.array(out, type=pa.string())
-            columns[n] = pa.array([c if x == t else len(x) for c, x, t in zip(columns[n].to_pylist(), out, texts)], type=columns[n].type)
+            if n is not None:
+                columns[n] = pa.array([c if x == t else len(x) for c, x, t in zip(columns[n].to_pylist(), out, texts)], type=columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

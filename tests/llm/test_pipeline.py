@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from tessera.llm import pii, toxicity
 from tessera.llm.common import table
@@ -30,3 +32,31 @@ def test_near_copies_take_five_words_and_four_fifths(spark):
     rows = [(1, " ".join(base), "en", "a", 1), (2, " ".join(base + more[:20]), "en", "a", 1), (3, "x " + " ".join(base[::-1]), "en", "a", 1), (4, "x " + " ".join(base[::-1] + more), "en", "a", 1)]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOC_SCHEMA), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]  # 96 of 116 five-word shingles, 97 of 127
+
+
+def test_odd_tables(spark, tmp_path, docs_rows):
+    """Empty tables, clashing names, missing ids and repeated rows go through every stage."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(100 + k, " ".join(rng.choices(words, k=40)) + (" vile foul" * 5 if k % 4 == 0 else ""), "en", "a", 1) for k in range(80)]
+    rows += [*docs_rows, docs_rows[0], (None, "no id but mail a.b@example.org", None, None, None), (None, None, None, None, None)]
+    spark.createDataFrame([(r[0], 1, int(r[0] % 4 == 0)) for r in rows[:80]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["toxic_score", "kept_id", "KEPT_HASH", "kept_rid", "kept_text", "piece", "part", "key"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], DOC_SCHEMA + "".join(f", {n} int" for n in names)).drop("n_chars")
+    now = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, str(tmp_path))
+        if k < 3:
+            assert now.columns == docs.columns, name
+            now.write.parquet(f"{tmp_path}/{k}")
+            now = spark.read.parquet(f"{tmp_path}/{k}")
+    kept = [r.doc_id for r in spark.read.parquet(f"{tmp_path}/2").collect()]
+    assert kept.count(1) == 1 and kept.count(4) + kept.count(5) == 1 and kept.count(None) == 2 and {2, 3, 6, 7} <= set(kept)
+    assert not {r[0] for r in rows[:80] if r[0] % 4 == 0} & set(kept)
+    assert sorted((r.doc_id for r in now.collect() if r.piece == 0), key=str) == sorted(kept, key=str)
+    masked = spark.read.parquet(f"{tmp_path}/2").where("text like '%no id but mail%'").first().text
+    assert masked == "no id but mail [EMAIL]"
+    now = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    assert now.count() == 0
