@@ -6,7 +6,7 @@ import uuid
 import warnings
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.paths import _fs, column
@@ -15,9 +15,11 @@ from tessera.sources.paths import _fs, column
 IN_LIST = 1000
 
 
-def query_cluster(rows: DataFrame, cluster_id: int, cluster_column: str = "cluster_id", columns: list[str] | None = None) -> DataFrame:
-    """The rows of one cluster; none is no error."""
+def query_cluster(rows: DataFrame, cluster_id: int, cluster_column: str = "cluster_id", columns: list[str] | None = None, warn: bool = False) -> DataFrame:
+    """The rows of one cluster; none is no error, and with ``warn``, which takes a job, a warning."""
     out = rows.where(column(cluster_column) == cluster_id)
+    if warn and out.limit(1).count() == 0:
+        warnings.warn(f"cluster {cluster_id} has no rows", stacklevel=2)
     return out.select(*map(column, columns)) if columns else out
 
 
@@ -76,7 +78,7 @@ def export_cluster(rows: DataFrame, cluster_id: int, path: str, cluster_column:
     """Writes one cluster to one file by its ending (.parquet, .csv, .smi, .txt) and returns its size; 0 writes none."""
     ending = path.rpartition(".")[2].lower()
     if ending not in ("parquet", "csv", "smi", "txt"):
-        raise ValueError(f"Unsupported format: .{ending}")
+        raise ValueError(f"a cluster can't be written as .{ending}")
     out = query_cluster(rows, cluster_id, cluster_column, ["smiles"] if ending in ("smi", "txt") else columns)
     n = out.count()
     if not n:
@@ -105,7 +107,7 @@ def export_all_clusters(rows: DataFrame, folder: str, file_format: str = "parque
     """Writes folders ``cluster_id=<id>`` and returns their sizes.  Rows are dealt by cluster first,
     so a task doesn't open a file for each; a few large clusters may want several files."""
     if file_format not in ("parquet", "csv"):
-        raise ValueError(f"Unsupported format: {file_format}")
+        raise ValueError(f"clusters are written as Parquet or CSV, not {file_format}")
     out = rows.select(*map(column, columns or ["smiles"]), column(cluster_column).alias("cluster_id"))
     if files_per_cluster > 1:
         out = out.repartition("cluster_id", F.pmod(F.xxhash64(*out.columns), F.lit(files_per_cluster)))

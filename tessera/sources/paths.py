@@ -36,11 +36,11 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     """The Parquet files of a results folder; chunks may lack columns that others have."""
     fs, where = _fs(spark, folder)
     if not fs.exists(where):
-        raise FileNotFoundError(f"Results directory not found: {folder}")
+        raise FileNotFoundError(f"there is no results folder {folder}")
     if not fs.getFileStatus(where).isDirectory():
-        raise ValueError(f"Expected directory, got a file: {folder}")
+        raise ValueError(f"{folder} is a file; results are a folder of chunks")
     if not any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(where)):
-        raise ValueError(f"No parquet files in {folder}")
+        raise ValueError(f"{folder} holds no Parquet file")
     return spark.read.option("mergeSchema", "true").parquet(folder)
 
 

@@ -59,9 +59,12 @@ def test_featurize(spark):
 
 def test_scans(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("valid_line1, valid_line11\n invalid_line\nvalid_line2m\tvalid_line22\n\n")
-    assert [r.smiles for r in text.scan_text(spark, str(tmp_path / "in"), 1).collect()] == ["valid_line11", "valid_line22"]
-    assert text.scan_text(spark, [str(tmp_path / "in/*.txt")]).count() == 3
+    lines = ["CCO\tethanol 1", "  c1ccccc1\u2003benzene", "O", "\t \t", "", "N#N nitrogen\u00a0gas   ", "CC(=O)O,acid", "[Na+].[Cl-]   salt,of;sodium\r"]
+    (tmp_path / "in/a.txt").write_text("\n".join(lines) + "\n")
+    tokens = [x.split() for x in lines]
+    for col in range(3):
+        assert [r.smiles for r in text.scan_text(spark, str(tmp_path / "in"), col).collect()] == [t[col] for t in tokens if len(t) > col]
+    assert text.scan_text(spark, [str(tmp_path / "in/*.txt")]).count() == sum(map(bool, tokens))
     with pytest.raises(FileNotFoundError):
         text.scan_text(spark, str(tmp_path / "missing"))
     with pytest.raises(TypeError):
