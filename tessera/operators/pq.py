@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.base import Estimator, Model
+
 #: Bytes of differences that an encoder holds at once.
 BLOCK_BYTES = 32 << 20
 
@@ -37,15 +39,33 @@ def compression(dim: int, m: int) -> float:
     return dim * 4 / m
 
 
+#: Share of the squared lengths by which the product form may be off; what comes this close is compared by differences.
+SLACK = 1e-11
+
+
 def nearest(x: np.ndarray, codewords: np.ndarray) -> np.ndarray:
-    """Codes (n, m) of rows by exact differences; of equal distances the lowest code."""
+    """Codes (n, m) of rows; of equal distances the lowest code.
+
+    |c|^2 - 2 x.c ranks the codewords by a matrix product; rows for which several codewords come
+    within rounding of the least are decided by exact differences.
+    """
     m, k, width = codewords.shape
     out = np.empty((len(x), m), dtype=np.int64)
-    rows = max(1, BLOCK_BYTES // (8 * k * width))
-    for a in range(0, len(x), rows):
-        for s in range(m):
-            apart = x[a:a + rows, None, s * width:(s + 1) * width] - codewords[s][None]
-            out[a:a + rows, s] = np.einsum("nkd,nkd->nk", apart, apart).argmin(axis=1)
+    rows = max(1, BLOCK_BYTES // (8 * k))
+    for s in range(m):
+        words = codewords[s]
+        square = (words * words).sum(axis=1)
+        for a in range(0, len(x), rows):
+            part = x[a:a + rows, s * width:(s + 1) * width]
+            apart = square - 2 * (part @ words.T)
+            least = apart.min(axis=1)
+            slack = SLACK * ((part * part).sum(axis=1) + square.max(initial=0.0))
+            close = apart <= (least + slack)[:, None]
+            code = close.argmax(axis=1)
+            for r in np.flatnonzero(close.sum(axis=1) > 1).tolist():
+                some = np.flatnonzero(close[r])
+                code[r] = some[((part[r] - words[some]) ** 2).sum(axis=1).argmin()]
+            out[a:a + rows, s] = code
     return out
 
 
@@ -53,8 +73,13 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_list()).astype(np.float64) if len(values) else np.zeros((0, 0))
 
 
+def _apart_from(part: Column) -> Callable[[Column], Column]:
+    """The squared distance of a codeword to ``part``."""
+    return lambda w: F.aggregate(F.zip_with(part, w, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+
+
 @dataclass
-class PQModel:
+class PQModel(Model):
     """A fitted codebook: float64 (m, k, width)."""
 
     codewords: np.ndarray
@@ -81,9 +106,34 @@ class PQModel:
 
         return run(vector)
 
-    def encode(self, df: DataFrame, vector_col: str = "fp", out_col: str = "codes") -> DataFrame:
-        """Adds the codes; rows without a vector are dropped."""
-        return df.where(F.col(vector_col).isNotNull()).withColumn(out_col, self.encode_column(vector_col))
+    def encode(self, df: DataFrame, vector_col: str = "fp", out_col: str = "codes", strategy: str = "auto") -> DataFrame:
+        """Adds the codes; rows without a vector are dropped.
+
+        ``strategy``: "vectorized" is one narrow pass in Arrow batches, "relational" the same in SQL
+        expressions with the codebook as a literal, for small codebooks; "auto" takes the former.
+        """
+        rows = df.where(F.col(vector_col).isNotNull())
+        if strategy == "relational":
+            return rows.withColumn(out_col, self._relational(F.col(vector_col)))
+        if strategy not in ("auto", "vectorized"):
+            raise ValueError(f"strategy {strategy!r} is not auto, vectorized or relational")
+        return rows.withColumn(out_col, self.encode_column(vector_col))
+
+    transform = encode
+
+    def _relational(self, vector: Column) -> Column:
+        width = self.codewords.shape[2]
+        codes = []
+        for s in range(self.m):
+            part = F.transform(F.slice(vector, s * width + 1, width), lambda v: v.cast("double"))
+            words = F.array(*[F.array(*map(F.lit, map(float, w))) for w in self.codewords[s]])
+
+            d = F.transform(words, _apart_from(part))
+            codes.append((F.array_position(d, F.array_min(d)) - 1).cast(code_type(self.k)))
+        return F.array(*codes)
+
+    def inverse_transform(self, df: DataFrame, codes_col: str = "codes", out_col: str = "decoded", binary: bool = False, round: bool = True) -> DataFrame:
+        return self.decode(df, codes_col, out_col, binary, round)
 
     def decode(self, df: DataFrame, codes_col: str = "codes", out_col: str = "decoded", binary: bool = False, round: bool = True) -> DataFrame:
         """Adds the vector of the codewords: 0/1 by a threshold of 0.6, or cut towards zero, or as it is."""
@@ -106,9 +156,14 @@ class PQModel:
         return df.withColumn(out_col, raw)
 
     def distance_tables(self) -> np.ndarray:
-        """Squared distances (m, k, k) between codewords."""
-        apart = self.codewords[:, :, None, :] - self.codewords[:, None, :, :]
-        return np.einsum("sabd,sabd->sab", apart, apart)
+        """Squared distances (m, k, k) between codewords, by exact differences in blocks of bounded size."""
+        out = np.empty((self.m, self.k, self.k))
+        rows = max(1, BLOCK_BYTES // (8 * self.codewords[0].size))
+        for s, words in enumerate(self.codewords):
+            for a in range(0, self.k, rows):
+                apart = words[a:a + rows, None, :] - words[None, :, :]
+                out[s, a:a + rows] = np.einsum("abd,abd->ab", apart, apart)
+        return out
 
     def distance_frame(self, spark: SparkSession) -> DataFrame:
         """(sub, c1, c2, d)."""
@@ -131,7 +186,7 @@ class PQModel:
 
 
 @dataclass
-class PQEncoder:
+class PQEncoder(Estimator):
     """Lloyd's algorithm in every subspace at once, one Spark job an iteration.
 
     ``init``: "first" rows by the id, "random" ones by a seeded hash, or "kmeans++" on a bounded
@@ -146,12 +201,26 @@ class PQEncoder:
     init: str = "first"
     integer: bool = False
     sample: int = 20_000
+    model: PQModel | None = field(default=None, repr=False)
     _fitted: bool = field(default=False, repr=False)
 
+    def fit_transform(self, df: DataFrame, vector_col: str = "fp", id_col: str = "id", out_col: str = "codes") -> DataFrame:
+        """The rows with the codes of a codebook fitted on them; ``model`` then has it."""
+        self.model = self.fit(df, vector_col, id_col)
+        return self.model.encode(df, vector_col, out_col)
+
     def fit(self, df: DataFrame, vector_col: str = "fp", id_col: str = "id") -> PQModel:
+        """Reads the rows once: they are kept in memory or on disk while it runs."""
         if self._fitted:
             raise AssertionError("the encoder is already fitted")
         rows = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+        rows = rows.persist()
+        try:
+            return self._fit(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit(self, rows: DataFrame) -> PQModel:
         shape = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
         if shape.low != shape.high:
             raise AssertionError("vectors of one length are needed")
@@ -196,8 +265,9 @@ class PQEncoder:
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 codes = nearest(x, words)
                 for s in range(m):
-                    np.add.at(sums[s], codes[:, s], x[:, s * width:(s + 1) * width])
                     counts[s] += np.bincount(codes[:, s], minlength=k)
+                    for d in range(width):
+                        sums[s, :, d] += np.bincount(codes[:, s], weights=x[:, s * width + d], minlength=k)
             s, c, d = np.indices(sums.shape)
             some = np.broadcast_to(counts[:, :, None] > 0, sums.shape)
             yield pa.RecordBatch.from_arrays([pa.array(a[some]) for a in (s.astype(np.int32), c.astype(np.int32), d.astype(np.int32), sums, np.broadcast_to(counts[:, :, None], sums.shape))], names=["sub", "code", "dim", "total", "n"])

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.base import Estimator, Model
 from tessera.operators.pq import PQModel
 
 #: Centers compared at once, and rows: a tile's table of distances stays in the cache.
@@ -67,13 +68,46 @@ def updated_centers(histogram: DataFrame, tables: np.ndarray, previous: np.ndarr
 
 
 @dataclass
-class PQKMeansModel:
+class PQKMeansModel(Model):
     pq: PQModel
     centers: np.ndarray
     iterations_run: int = 0
 
-    def assign(self, df: DataFrame, codes_col: str = "codes", with_distance: bool = False, cluster_col: str = "cluster_id") -> DataFrame:
-        """Adds the label, and the distance; one narrow pass with the centers broadcast."""
+    @classmethod
+    def from_centers(cls, pq: PQModel, centers: np.ndarray | DataFrame) -> PQKMeansModel:
+        """A model of given centers (K, m), or of a frame as ``centers_frame`` gives it; it counts as fitted."""
+        if isinstance(centers, DataFrame):
+            centers = [r.codes for r in centers.orderBy("cluster_id").select("codes").collect()]  # K * m numbers
+        centers = np.asarray(centers, dtype=np.int64)
+        if centers.ndim != 2 or centers.shape[1] != pq.m or not len(centers) or centers.min() < 0 or centers.max() >= pq.k:
+            raise ValueError(f"centers must be rows of {pq.m} codes below {pq.k}")
+        return cls(pq, centers)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.assign(df)
+
+    predict = transform
+
+    def _relational(self, df: DataFrame, codes_col: str, cluster_col: str, with_distance: bool) -> DataFrame:
+        """Every row meets every center in SQL expressions: the centers' and tables' literals make it one for few of both."""
+        tables = self.pq.distance_tables()
+        far = []
+        for center in self.centers:
+            terms = [F.element_at(F.array(*map(F.lit, tables[s][:, c].tolist())), F.col(codes_col)[s].cast("int") + 1) for s, c in enumerate(center.tolist())]
+            far.append(sum(terms[1:], terms[0]))
+        out = df.withColumn("_far", F.array(*far)).withColumn("distance", F.array_min("_far"))
+        out = out.withColumn(cluster_col, (F.array_position("_far", F.col("distance")) - 1).cast("int")).drop("_far")
+        return out if with_distance else out.drop("distance")
+
+    def assign(self, df: DataFrame, codes_col: str = "codes", with_distance: bool = False, cluster_col: str = "cluster_id", strategy: str = "auto") -> DataFrame:
+        """Adds the label, and the distance; one narrow pass with the centers broadcast.
+
+        ``strategy``: "vectorized" in Arrow batches, "relational" in SQL expressions; "auto" takes the former.
+        """
+        if strategy == "relational":
+            return self._relational(df, codes_col, cluster_col, with_distance)
+        if strategy not in ("auto", "vectorized"):
+            raise ValueError(f"strategy {strategy!r} is not auto, vectorized or relational")
         centers, tables = self.centers, self.pq.distance_tables()
 
         @F.pandas_udf("struct<label int, distance double>")
@@ -115,7 +149,7 @@ class PQKMeansModel:
 
 
 @dataclass
-class PQKMeans:
+class PQKMeans(Estimator):
     """Assign, count codes, move centers, until at most ``tol`` of the codes of centers change or two states alternate.
 
     ``dedupe`` first groups equal codes, which pays where they repeat: labels depend on codes only.
@@ -135,14 +169,20 @@ class PQKMeans:
             raise ValueError("a fitted PQModel is needed")
 
     def fit(self, df: DataFrame, codes_col: str = "codes", id_col: str = "id") -> PQKMeansModel:
-        rows = df.select(F.col(id_col).alias("id"), F.col(codes_col).alias("codes"))
+        rows = df.select(F.col(id_col).alias("id"), F.col(codes_col).alias("codes")).persist()
+        try:
+            return self._fit(rows)
+        finally:
+            rows.unpersist()
+
+    def _fit(self, rows: DataFrame) -> PQKMeansModel:
         drawn = F.md5(F.concat_ws("|", F.lit(str(self.seed)), F.col("id").cast("string")))
         first = rows.orderBy(*(["id"] if self.init == "first" else [drawn, F.col("id")])).limit(self.k).collect()
         if not first:
             raise ValueError("there are no codes")
         centers = np.array([first[j % len(first)].codes for j in range(self.k)], dtype=np.int64)
         work = rows.groupBy("codes").agg(F.count("*").alias("weight")) if self.dedupe else rows.select("codes")
-        work = work.persist()
+        work = work.persist() if self.dedupe else work
         tables, before = self.pq.distance_tables(), None
         self.history = []
         for _ in range(self.iterations):
@@ -153,7 +193,8 @@ class PQKMeans:
             before, centers = centers, new
             if self.history[-1] <= self.tol or alternates:
                 break
-        work.unpersist()
+        if self.dedupe:
+            work.unpersist()
         return PQKMeansModel(self.pq, centers, len(self.history))
 
     def fit_predict(self, df: DataFrame, codes_col: str = "codes", id_col: str = "id") -> DataFrame:

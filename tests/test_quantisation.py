@@ -90,3 +90,49 @@ def test_binary(spark):
     assert [r.decoded for r in model.decode(df, binary=True).collect()] == [[0, 0], [1, 1]]
     assert [r.decoded for r in model.decode(df).collect()] == [[0, -1], [0, 1]]
     assert model.decode(df, round=False).where(F.col("decoded")[1] < -1.6).count() == 1
+
+
+def test_nearest_takes_the_lowest_of_equal_ones():
+    rnd = np.random.default_rng(2)
+    for x, words in ((rnd.integers(-3, 4, (500, 6)), rnd.integers(-3, 4, (2, 40, 3))), (rnd.normal(size=(500, 6)) * 1e3 + 1e6, rnd.normal(size=(2, 40, 3)) * 1e3 + 1e6)):
+        x, words = x.astype(float), words.astype(float)
+        words[:, 20:] = words[:, :20]  # every codeword twice
+        apart = [((x[:, None, s * 3:s * 3 + 3] - words[s][None]) ** 2).sum(axis=2) for s in range(2)]
+        got = nearest(x, words)
+        for s in range(2):
+            assert (got[:, s] == apart[s].argmin(axis=1)).all()
+
+
+def test_strategies_agree(spark):
+    df, _ = vectors(spark, n=80)
+    encoder = PQEncoder(k=6, m=3, iterations=2, integer=True)
+    codes = encoder.fit_transform(df).orderBy("id").collect()
+    pq = encoder.model
+    assert pq.encode(df, strategy="relational").orderBy("id").collect() == codes
+    model = PQKMeansModel.from_centers(pq, [[0, 1, 2], [3, 3, 3], [0, 1, 2], [5, 0, 4]])
+    one, two = (sorted(tuple(r) for r in model.assign(pq.encode(df), with_distance=True, strategy=s).select("id", "cluster_id", "distance").collect()) for s in ("vectorized", "relational"))
+    assert one == two and not any(r[1] == 2 for r in one)
+    assert np.array_equal(PQKMeansModel.from_centers(pq, model.centers_frame(spark)).centers, model.centers)
+    for wrong in ([[0, 1]], [[0, 1, 6]], []):
+        with pytest.raises(ValueError):
+            PQKMeansModel.from_centers(pq, wrong)
+    with pytest.raises(ValueError):
+        pq.encode(df, strategy="other")
+
+
+def test_kmeans_plus_plus_starts_on_rows(spark):
+    df, x = vectors(spark)
+    words = PQEncoder(k=8, m=4, iterations=0, init="kmeans++", seed=3).fit(df).codewords
+    for s in range(4):
+        rows = {tuple(r) for r in x[:, 3 * s:3 * s + 3].astype(float).tolist()}
+        assert {tuple(w) for w in words[s].tolist()} <= rows and len({tuple(w) for w in words[s].tolist()}) == 8
+
+
+def test_early_stop(spark):
+    df, _ = vectors(spark, n=60)
+    pq = PQEncoder(k=6, m=3, iterations=1).fit(df)
+    estimator = PQKMeans(pq, 3, iterations=50)
+    model = estimator.fit(pq.encode(df))
+    assert model.iterations_run < 50 and (estimator.history[-1] <= 1e-3 or model.iterations_run > 1)
+    labels = estimator.fit_predict(pq.encode(df))
+    assert labels.select("cluster_id").collect() == model.assign(pq.encode(df)).select("cluster_id").collect()
