@@ -9,7 +9,7 @@ bins full), last to single ones, so no solution is out of reach.  A node goes wh
 and the least that the rest needs, which is the waste that a better solution may still have, do not
 beat the incumbent, or when the same pieces were left before with as few bins.  The best-fit solution is the first
 incumbent; the search ends at the lower bound on the number of bins, which is then optimal, or after
-NODES nodes beyond its first descent for each of two orders of branches, with the best found by then.
+STEPS steps beyond its first descent for each of two orders of branches, with the best found by then.
 
 Pieces then get their places by rank among the pieces of their length: counts per (length, file
 partition) give every partition its first rank, so no task ever holds all pieces of one length.
@@ -32,11 +32,11 @@ from tessera.llm.common import Scratch, table, text_batches
 from tessera.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Nodes of the search beyond its first descent, for each order of branches.
-NODES = 4000
 #: Fillings compared at each node, and steps of their enumeration.
 FILLINGS = 12
 FILL_STEPS = 400
+#: Steps of all enumerations beyond the first descent, for each order of branches; a node itself counts as NODE_STEPS.
+STEPS, NODE_STEPS = 60_000, 5
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies)
 
@@ -53,8 +53,8 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(-(-int(mass[-1]) // capacity), int(needed.max()))
 
 
-def _fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated sets of available lengths of at most ``room`` in sum, fullest first."""
+def _fillings(counts: np.ndarray, room: int, most: int) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated sets of available lengths of at most ``room`` in sum, fullest first; and the steps that it took."""
     found: dict[tuple[int, ...], int] = {}
     left = counts[:room + 1].copy()
     left[0] = 0
@@ -107,7 +107,7 @@ def _fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]
         return False
 
     kept = sorted((f for f in found if not dominated(f)), key=lambda f: (-sum(f), len(f), [-x for x in f]))
-    return kept[:most] or [max(found, key=sum)]
+    return kept[:most] or [max(found, key=sum)], FILL_STEPS - steps
 
 
 def _times(counts: np.ndarray, pieces: tuple[int, ...]) -> int:
@@ -139,7 +139,7 @@ class _Search:
     def __init__(self, counts: np.ndarray, capacity: int, target: int, limit: int, share: int):
         self.left, self.capacity, self.target, self.limit, self.share = counts.copy(), capacity, target, limit, share
         self.rest = int((counts * np.arange(len(counts))).sum())
-        self.used, self.nodes, self.ended = 0, NODES, False
+        self.used, self.steps, self.ended = 0, STEPS, False
         self.bins: list[tuple[tuple[int, ...], int]] = []
         self.best: list[tuple[tuple[int, ...], int]] | None = None
         self.seen: dict[int, int] = {}
@@ -160,8 +160,9 @@ class _Search:
 
     def _picks(self, longest: int, most: int) -> list[tuple[tuple[int, ...], int]]:
         self.left[longest] -= 1
-        fillings = _fillings(self.left, self.capacity - longest, most)
+        fillings, steps = _fillings(self.left, self.capacity - longest, most)
         self.left[longest] += 1
+        self.steps -= steps * self.ended
         return [((longest, *f), _times(self.left, (longest, *f))) for f in fillings]
 
     def _put(self, pieces: tuple[int, ...], times: int) -> None:
@@ -182,7 +183,7 @@ class _Search:
 
     def run(self) -> list[tuple[tuple[int, ...], int]] | None:
         stack = [self._branches()]
-        while stack and self.nodes > 0:
+        while stack and self.steps > 0:
             branch = next(stack[-1], None)
             if branch is None:
                 stack.pop()
@@ -190,7 +191,7 @@ class _Search:
                     pieces, times = self.bins.pop()
                     self._put(pieces, -times)
                 continue
-            self.nodes -= self.ended
+            self.steps -= NODE_STEPS * self.ended
             self._put(*branch)
             if self.rest and self._open():
                 self.bins.append(branch)
