@@ -13,49 +13,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fingerprints import PROPERTIES, featurize, mol_props
+from tessera.sources.paths import write_text
 
 #: Rows of a block; pairs of blocks are the unit of work of the exact graph.
 BLOCK_ROWS = 1024
+#: Rows up to which all pairs are compared, unless asked for, and molecules that one map may show.
+EXACT_ROWS, MAP_ROWS = 200_000, 50_000
 
 
-def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def _apart(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Squared Euclidean or Jaccard distances of all rows of two blocks by one matrix product."""
     if metric == "euclidean":
-        return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    both = a.astype(bool).astype(np.float64) @ b.astype(bool).astype(np.float64).T
-    either = a.astype(bool).sum(axis=1)[:, None] + b.astype(bool).sum(axis=1)[None, :] - both
+        return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0.0)
+    a, b = a.astype(bool).astype(np.float64), b.astype(bool).astype(np.float64)
+    both = a @ b.T
+    either = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - both
     return np.where(either > 0, 1 - both / np.maximum(either, 1), 0.0)
 
 
-def knn_graph(df: DataFrame, k: int, metric: str = "euclidean", exact: bool = True, id_col: str = "id", vector_col: str = "fp", radius: float = 1.0) -> DataFrame:
+def _nearest(a: np.ndarray, own: np.ndarray, b: np.ndarray, others: np.ndarray, k: int, metric: str) -> list[tuple[int, int, float]]:
+    """(row, other, distance): the k nearest others of each row of a block, equal distances by id."""
+    apart = _apart(a, b, metric)
+    apart[own[:, None] == others[None, :]] = np.inf
+    wanted = min(k, len(others)) - 1
+    reach = np.partition(apart, wanted, axis=1)[:, wanted]
+    # what comes within rounding of the k-th is compared by exact differences
+    reach = reach + 1e-9 * (1 + np.abs(reach) + ((a * a).sum(axis=1) if metric == "euclidean" else 0.0))
+    at, to = np.nonzero((apart <= reach[:, None]) & np.isfinite(apart))
+    d = np.sqrt(((a[at] - b[to]) ** 2).sum(axis=1)) if metric == "euclidean" else apart[at, to]
+    order = np.lexsort((others[to], d, at))
+    at, to, d = at[order], to[order], d[order]
+    first = np.searchsorted(at, at)
+    kept = np.arange(len(at)) - first < k
+    return list(zip(own[at[kept]].tolist(), others[to[kept]].tolist(), d[kept].tolist()))
+
+
+def knn_graph(df: DataFrame, k: int, metric: str = "euclidean", exact: bool | None = None, id_col: str = "id", vector_col: str = "fp", radius: float = 1.0) -> DataFrame:
     """(src, dst, dist, rank): each row's k nearest others, equal distances by id.
 
-    Exact: rows are dealt in blocks and every pair of blocks is a group, whose task keeps k per row.
-    Otherwise rows meet by locality-sensitive hashing within ``radius``, for more rows than representatives.
+    Exact: rows are dealt in blocks and every pair of blocks is a group, whose task keeps k per row and side.
+    Otherwise rows meet by locality-sensitive hashing within ``radius``.  None: exact up to EXACT_ROWS
+    rows, as the work of all pairs grows with their square; representatives are fewer.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    if not exact:
+    many = rows.count()
+    if exact is False or exact is None and many > EXACT_ROWS:
         vectors = rows.withColumn("features", array_to_vector("v"))
         lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="h", bucketLength=radius, numHashTables=4, seed=1) if metric == "euclidean" else MinHashLSH(inputCol="features", outputCol="h", numHashTables=8, seed=1)
         model = lsh.fit(vectors)
         pairs = model.approxSimilarityJoin(vectors, vectors, radius, "dist").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), "dist").where("src <> dst")
     else:
-        blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-        own = rows.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        dealt = own.withColumn("b", each).select("a", "b", F.lit(True).alias("asks"), "id", "v").union(own.withColumn("b", each).select(F.col("b"), F.col("a"), F.lit(False), "id", "v"))
+        blocks = max(1, -(-many // BLOCK_ROWS))
+        own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        dealt = dealt.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("low"), "id", "v")
 
         def nearest(group: pd.DataFrame) -> pd.DataFrame:
-            asks, held = group[group.asks], group[~group.asks].sort_values("id")
-            if not len(asks) or not len(held):
-                return pd.DataFrame({"src": [], "dst": [], "dist": []}).astype({"src": "int64", "dst": "int64", "dist": "float64"})
-            x, ids = np.stack(held.v.to_list()), held.id.to_numpy()
+            one, two = (group[group.low == x] for x in (True, False))
+            if group.a.iloc[0] == group.b.iloc[0]:
+                two = one
             out = []
-            for i, v in zip(asks.id, asks.v):
-                d = _distances(v[None, :], x, metric)[0]
-                d = np.where(ids == i, np.inf, d)
-                best = np.argsort(d, kind="stable")[:k]
-                out += [(i, int(ids[j]), float(d[j])) for j in best if np.isfinite(d[j])]
-            return pd.DataFrame(out, columns=["src", "dst", "dist"])
+            if len(one) and len(two):
+                sides = [(np.stack(x.v.to_list()), x.id.to_numpy()) for x in (one, two)]
+                out = _nearest(*sides[0], *sides[1], k, metric)
+                if two is not one:
+                    out += _nearest(*sides[1], *sides[0], k, metric)
+            return pd.DataFrame(out, columns=["src", "dst", "dist"]).astype({"src": "int64", "dst": "int64", "dist": "float64"})
 
         pairs = dealt.groupBy("a", "b").applyInPandas(nearest, "src long, dst long, dist double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
@@ -113,12 +136,18 @@ def _layout(nodes: list[int], tree: list[tuple[int, int, float]]) -> dict[int, t
 
 
 def tree_map(df: DataFrame, path: str, kind: str = "morgan", k: int = 20, metric: str | None = None, properties: list[str] | None = None, cluster_col: str | None = None, **params) -> DataFrame:
-    """Writes an HTML map of molecules (smiles), at most as many as representatives, and returns the edges of its tree."""
+    """Writes an HTML map of molecules (smiles) and returns the edges of its tree.
+
+    Ids are those of a column ``id``, or else given.  At most MAP_ROWS molecules, as the driver lays
+    them out: take representatives, or a sample, of more.  ``path`` may be on any file system that Spark knows.
+    """
     if lost := sorted(set(properties or []) - PROPERTIES.keys()):
         raise ValueError(f"unknown properties: {', '.join(lost)}")
     params = params or ({"fp_size": 2048, "radius": 2} if kind == "morgan" else {})
     spark = df.sparkSession
-    rows = featurize(df.withColumn("id", F.monotonically_increasing_id()), kind, **params)
+    if df.limit(MAP_ROWS + 1).count() > MAP_ROWS:
+        raise ValueError(f"a map shows at most {MAP_ROWS} molecules; take representatives or a sample")
+    rows = featurize(df if "id" in df.columns else df.withColumn("id", F.monotonically_increasing_id()), kind, **params)
     rows = (mol_props(rows, properties) if properties else rows).persist()
     edges = knn_graph(rows, k, metric or ("euclidean" if kind == "mqn" else "jaccard")).select("src", "dst", "dist").collect()
     tree = spanning_tree((r.src, r.dst, r.dist) for r in edges)
@@ -127,11 +156,15 @@ def tree_map(df: DataFrame, path: str, kind: str = "morgan", k: int = 20, metric
     at = _layout([r.id for r in held], tree)
     points = [{"x": at[r.id][0], "y": at[r.id][1], "smiles": r.smiles, **{p: r[p] for p in properties or []}, **({"cluster": r[cluster_col]} if cluster_col else {})} for r in held]
     lines = [[*at[a], *at[b]] for a, b, _ in tree]
-    with open(path, "w") as f:
-        f.write(_PAGE.replace("POINTS", json.dumps(points)).replace("LINES", json.dumps(lines)))
+    write_text(spark, path, _PAGE.replace("POINTS", json.dumps(points)).replace("LINES", json.dumps(lines)))
     return spark.createDataFrame(tree, "src long, dst long, dist double")
 
 
+def representative_map(df: DataFrame, path: str, kind: str = "mqn", k: int = 21, properties: list[str] | None = None, cluster_col: str = "cluster_id", **params) -> DataFrame:
+    """A map of one molecule of each cluster (smiles, cluster id), coloured by cluster: Euclidean for quantum numbers, else Jaccard."""
+    return tree_map(df, path, kind, k, None, properties, cluster_col, **params)
+
+
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Tree map</title><canvas id="c" width="1200" height="900"></canvas><pre id="t"></pre><script>
 const points = POINTS, lines = LINES, c = document.getElementById("c"), g = c.getContext("2d");
 const xs = points.map(p => p.x), ys = points.map(p => p.y), x0 = Math.min(...xs), x1 = Math.max(...xs), y0 = Math.min(...ys), y1 = Math.max(...ys);

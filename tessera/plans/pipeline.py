@@ -13,7 +13,7 @@ from tessera.functions.fingerprints import featurize
 from tessera.operators.pq import PQEncoder, PQModel, auto_m
 from tessera.operators.pqkmeans import PQKMeans, PQKMeansModel
 from tessera.sources.paths import _fs
-from tessera.sources.text import scan_text
+from tessera.sources.text import scan_text, share_drawn
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,7 @@ class Config:
     col: int = 0
     kind: str = "mqn"
     params: tuple[tuple[str, int], ...] = ()
-    n_train: int = 1_000_000
+    n_train: int = 1_000_000  # about so many: rows are drawn by a threshold
     k_codes: int = 256
     m: int | None = None
     pq_iterations: int = 20
@@ -76,7 +76,9 @@ class Pipeline:
 
     def encoder(self) -> None:
         c, rows = self.config, self._table("features")
-        train = rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(c.seed)), F.col("id").cast("string"))), "id").limit(c.n_train)
+        # drawn once by a hash threshold and stored, so every iteration reads all its partitions in parallel
+        share_drawn(rows, c.n_train, c.seed, "id").select("id", "fp").write.mode("overwrite").parquet(f"{c.out}/train")
+        train = self._table("train")
         m = c.m or auto_m(rows.select(F.size("fp")).first()[0])
         PQEncoder(c.k_codes, m, c.pq_iterations, c.seed, "random").fit(train).save(self.spark, f"{c.out}/encoder")
 

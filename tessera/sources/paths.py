@@ -44,6 +44,14 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(folder)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of the driver's, on the path's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def quoted(name: str) -> str:
     """A column's name in backticks; one that is already quoted stays."""
     return name if len(name) > 1 and name[0] == name[-1] == "`" else "`" + name.replace("`", "``") + "`"

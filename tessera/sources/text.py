@@ -50,12 +50,25 @@ def scan_sdf(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.option("lineSep", "$$$$").text(files).mapInPandas(run, "smiles string")
 
 
+#: Positions of a file that are numbered in one group.
+NUMBERED = 1 << 16
+
+
 def chunk_ids(rows: DataFrame, size: int | None, file_col: str, order_col: str) -> DataFrame:
-    """Adds ``chunk``: rows of a file in order, ``size`` to a chunk; a chunk never spans files.  None: one per file."""
+    """Adds ``chunk``: rows of a file in order, ``size`` to a chunk; a chunk never spans files.  None: one per file.
+
+    ``order_col`` has positions, whole numbers.  A long file is numbered in groups of NUMBERED positions,
+    each after the rows of the groups before it, so it is not one task.
+    """
     if size is None:
         return rows.withColumn("chunk", F.lit(0).cast("long"))
-    nth = F.row_number().over(Window.partitionBy(file_col).orderBy(order_col))
-    return rows.withColumn("chunk", F.floor((nth - 1) / size).cast("long"))
+    dealt = rows.withColumn("_group", F.floor(F.col(order_col) / NUMBERED))
+    held = dealt.groupBy(file_col, "_group").agg(F.count("*").alias("_held"))
+    earlier = Window.partitionBy(file_col).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(file_col, "_group", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(file_col, "_group").orderBy(order_col))
+    out = dealt.join(before, [file_col, "_group"]).withColumn("chunk", F.floor((F.col("_before") + nth - 1) / size).cast("long"))
+    return out.select(*rows.columns, "chunk")
 
 
 def train_head(rows: DataFrame, n: int, order_col: str) -> DataFrame:
@@ -63,6 +76,14 @@ def train_head(rows: DataFrame, n: int, order_col: str) -> DataFrame:
     return rows.orderBy(order_col).limit(n)
 
 
+def share_drawn(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """About n rows, drawn by a threshold on a seeded hash: a filter, so nothing is sorted and the partitions stay."""
+    many = rows.count()
+    if many <= n:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * n / many))
+
+
 def subsample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows without replacement, the same for a seed however the rows are partitioned, in order of the key."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n).orderBy(key)
