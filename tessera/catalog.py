@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.fingerprints import featurize, mol_props
+from tessera.functions.smiles import parse, to_molblock
 from tessera.operators import clusters, graph, metrics
 from tessera.operators.pq import PQEncoder, PQModel, auto_m, compression, recon_error, split_vectors
 from tessera.operators.pqkmeans import PQKMeans, PQKMeansModel, code_histogram, updated_centers
 from tessera.plans.catalog_sql import CLUSTERS, ORACLES, K, M  # noqa: F401
 from tessera.plans.pipeline import Config, Pipeline
-from tessera.sources import text
+from tessera.sources import arrays, text
+from tessera.sources.paths import _fs, expand_paths, results, shared_folder
 from tessera.streaming.assign import stream_assign
 
 
@@ -23,12 +25,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that executors share with the driver."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem")
     return rows.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("smiles"), (F.col("l_suppkey") % 16).cast("int").alias("cluster_id"))
@@ -78,13 +74,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder(spark)}/cluster_7.parquet"
+    path = f"{shared_folder(spark)}/cluster_7.parquet"
     clusters.export_cluster(_results(spark, sf_dir), 7, path)
     return spark.read.parquet(path)
 
 
 def _export_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     clusters.export_all_clusters(_results(spark, sf_dir), folder)
     return clusters.cluster_stats(spark.read.parquet(folder))
 
@@ -139,12 +135,8 @@ def _compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(d, auto_m(d), float(compression(d, auto_m(d)))) for d in (42, 1024, 2048, 64, 30, 20)], "d int, m int, ratio double")
 
 
-#: Places of some counts in the 42.
-MQN = {"c": 0, "cl": 2, "an": 7, "ao": 9, "hac": 11, "asb": 12, "rbc": 18, "hbam": 19, "hba": 20, "hbdm": 21, "hbd": 22, "asv": 25, "adv": 26}
-
-
 def _mqn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return featurize(_molecules(spark, sf_dir)).select("p_partkey", *[F.col("fp")[k].cast("int").alias(n) for n, k in MQN.items()])
+    return featurize(_molecules(spark, sf_dir)).select("p_partkey", _joined("fp"))
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,33 +149,95 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _molecule_model(spark: SparkSession, sf_dir: str) -> PQKMeansModel:
-    rows = featurize(_molecules(spark, sf_dir).withColumnRenamed("p_partkey", "id"))
-    pq = PQEncoder(8, 6, iterations=3).fit(rows)
-    return PQKMeans(pq, 4, iterations=3).fit(pq.encode(rows))
+    """Features are stored before the fits, whose iterations read them again and again."""
+    folder = shared_folder(spark)
+    featurize(_molecules(spark, sf_dir).withColumnRenamed("p_partkey", "id")).write.parquet(f"{folder}/features")
+    rows = spark.read.parquet(f"{folder}/features")
+    pq = PQEncoder(8, 6, iterations=2, integer=True).fit(rows)
+    return PQKMeans(pq, 4, iterations=2, tol=-1.0).fit(pq.encode(rows))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     _molecules(spark, sf_dir).select("smiles").write.text(f"{folder}/in")
     stream_assign(spark, f"{folder}/in", _molecule_model(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     _molecules(spark, sf_dir).select("smiles").write.text(f"{folder}/in")
-    return Pipeline(spark, Config(f"{folder}/in", f"{folder}/out", k_codes=8, pq_iterations=3, k_clusters=4, iterations=3)).run()
+    return Pipeline(spark, Config(f"{folder}/in", f"{folder}/out", k_codes=8, pq_iterations=2, k_clusters=4, iterations=2, tol=-1.0, integer=True)).run()
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     pq, codes = _pq(spark, sf_dir)
-    return metrics.k_sweep(spark, codes, pq, [4, 8], f"{_folder(spark)}/sweep", iterations=2)
+    found = metrics.k_sweep(spark, codes, pq, [4, 8], f"{shared_folder(spark)}/sweep", iterations=2).drop("fit_time_s", "predict_time_s", "iterations")
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" and c != "inertia" else c for c, t in found.dtypes])
 
 
 def _tree_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _molecules(spark, sf_dir).select("smiles").distinct()
-    with tempfile.NamedTemporaryFile(suffix=".html") as f:  # the driver's own report
-        return graph.tree_map(some, f.name, "mqn", k=5, properties=["mw"])
+    some = _molecules(spark, sf_dir).groupBy("smiles").agg(F.min("p_partkey").alias("id"))
+    found = graph.tree_map(some, f"{shared_folder(spark)}/map.html", "mqn", k=5, properties=["mw"])
+    return found.withColumn("dist", F.round("dist", 6))
+
+
+def _scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    _lines(spark, sf_dir).select("value").write.text(f"{folder}/in")
+    return text.scan_text(spark, f"{folder}/in", 1)
+
+
+def _scan_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's molecule as a record of SD files, read back."""
+
+    def record(smiles: pd.Series) -> pd.Series:
+        return smiles.map(lambda x: to_molblock(parse(x)) + "$$$$")
+
+    folder = shared_folder(spark)
+    rows = _molecules(spark, sf_dir).select(F.pandas_udf(record, "string")("smiles").alias("value"))
+    rows.write.text(f"{folder}/parts")
+    files = [f for f in expand_paths(spark, f"{folder}/parts") if f.endswith(".txt")]
+    fs, _ = _fs(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(f"{folder}/in"))
+    for k, f in enumerate(files):
+        fs.rename(path(f), path(f"{folder}/in/{k}.sdf"))
+    return text.scan_text(spark, f"{folder}/in")
+
+
+def _scan_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as .npy chunks of 150 rows, which the driver writes here as it would save chunks, read back in order."""
+    folder = shared_folder(spark)
+    x = np.array([r.fp for r in _vectors(spark, sf_dir).orderBy("id").collect()])
+    for k, a in enumerate(range(0, len(x), 150)):
+        arrays.save_chunk(x[a:a + 150], folder, k, spark=spark)
+    rows = arrays.scan_npy(spark, folder)
+    chunk = F.regexp_extract("file", "_([0-9]+)[.]npy$", 1).cast("long")
+    return rows.select((chunk * 150 + F.col("row")).alias("row"), F.array_join(F.transform("fp", lambda v: v.cast("int").cast("string")), ",").alias("fp"))
+
+
+def _scan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    arrays.to_wide(_pq(spark, sf_dir)[1].select("codes"), "codes", M, "pq_").write.parquet(f"{folder}/codes")
+    return arrays.scan_codes(spark, f"{folder}/codes").select(_joined("codes"))
+
+
+def _model_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and distances by a model that was saved and loaded."""
+    folder = shared_folder(spark)
+    _, codes = _pq(spark, sf_dir)
+    _clustered(spark, sf_dir)[0].save(spark, folder)
+    found = PQKMeansModel.load(spark, folder).assign(codes, with_distance=True)
+    return found.select("id", "cluster_id", F.col("distance").cast("long").alias("distance"))
+
+
+def _results_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes over a folder of chunks, of which one lacks a column that others have."""
+    folder, rows = f"{shared_folder(spark)}/results", _results(spark, sf_dir)
+    rows.where("cluster_id < 8").write.parquet(folder)
+    rows.where("cluster_id >= 8").withColumn("extra", F.lit(1)).write.mode("append").parquet(folder)
+    return clusters.cluster_stats(results(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -198,7 +252,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "representatives": lambda s, d: clusters.representatives(_results(s, d), 42),
     "export_cluster": _export_cluster,
     "export_all": _export_all,
-    "scan_text": lambda s, d: text.pick_token(_lines(s, d), 1).select("smiles"),
+    "scan_text": _scan_text,
+    "scan_sdf": _scan_sdf,
+    "scan_npy": _scan_npy,
+    "scan_codes": _scan_codes,
+    "model_io": _model_io,
+    "results_folder": _results_folder,
     "chunk_ids": lambda s, d: text.chunk_ids(_lines(s, d), 3, "doc_id", "pos").groupBy("doc_id", "chunk").agg(F.count("*").alias("n")),
     "train_head": lambda s, d: text.train_head(_vectors(s, d), 100, "id").select("id", _joined("fp")),
     "subsample": lambda s, d: text.subsample(_vectors(s, d), 100, 7, "id").select("id", _joined("fp")),

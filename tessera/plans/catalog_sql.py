@@ -12,23 +12,32 @@ def apart(a: str, b: str) -> str:
     return f"CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
 
 
-WORDS = f"""cb AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS c, list_slice(fp, s * {WIDTH} + 1, s * {WIDTH} + {WIDTH}) AS w
-    FROM (SELECT * FROM v ORDER BY id LIMIT {K}), range({M}) r(s))"""
 
 
-def codes(name: str, words: str) -> str:
-    part = f"list_slice(v.fp, {words}.s * {WIDTH} + 1, {words}.s * {WIDTH} + {WIDTH})"
+def first_words(k: int = K, m: int = M, width: int = WIDTH, order: str = "id") -> str:
+    return f"""cb AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY {order}) - 1 AS c, list_slice(fp, s * {width} + 1, s * {width} + {width}) AS w
+    FROM (SELECT * FROM v ORDER BY {order} LIMIT {k}), range({m}) r(s))"""
+
+
+def codes(name: str, words: str, width: int = WIDTH) -> str:
+    part = f"list_slice(v.fp, {words}.s * {width} + 1, {words}.s * {width} + {width})"
     return f"{name} AS (SELECT id, s, arg_min(c, (d, c)) AS code FROM (SELECT v.id, {words}.s, {words}.c, {apart(part, words + '.w')} AS d FROM v, {words}) GROUP BY id, s)"
 
 
-def moved_words(name: str, words: str, enc: str) -> str:
+def moved_words(name: str, words: str, enc: str, width: int = WIDTH) -> str:
     return f"""{name} AS (SELECT o.s, o.c, coalesce(n.w, o.w) AS w FROM {words} o LEFT JOIN (SELECT s, c, list(x ORDER BY d) AS w FROM
-        (SELECT e.s, e.code AS c, d, CAST(floor(avg(v.fp[e.s * {WIDTH} + d])) AS BIGINT) AS x FROM {enc} e JOIN v USING (id), range(1, {WIDTH + 1}) r(d) GROUP BY ALL) GROUP BY s, c) n ON o.s = n.s AND o.c = n.c)"""
+        (SELECT e.s, e.code AS c, d, CAST(floor(avg(v.fp[e.s * {width} + d])) AS BIGINT) AS x FROM {enc} e JOIN v USING (id), range(1, {width + 1}) r(d) GROUP BY ALL) GROUP BY s, c) n ON o.s = n.s AND o.c = n.c)"""
+
+
+def distance_tables(words: str) -> str:
+    return f"t AS (SELECT a.s, a.c AS c1, b.c AS c2, {apart('a.w', 'b.w')} AS d FROM {words} a JOIN {words} b USING (s))"
 
 
-ENCODED = codes("enc", "cb")
-TABLES = f"t AS (SELECT a.s, a.c AS c1, b.c AS c2, {apart('a.w', 'b.w')} AS d FROM cb a JOIN cb b USING (s))"
-FIRST = f"z0 AS (SELECT k, s, code FROM enc JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v ORDER BY id LIMIT {CLUSTERS}) USING (id))"
+def first_centers(name: str = "z0", k: int = CLUSTERS, order: str = "id") -> str:
+    return f"{name} AS (SELECT k, s, code FROM enc JOIN (SELECT id, row_number() OVER (ORDER BY {order}, id) - 1 AS k FROM v ORDER BY {order}, id LIMIT {k}) USING (id))"
+
+
+WORDS, ENCODED, TABLES, FIRST = first_words(), codes("enc", "cb"), distance_tables("cb"), first_centers()
 
 
 def labels(name: str, centers: str) -> str:
@@ -49,6 +58,15 @@ BASIS = [VECTORS, WORDS, ENCODED]
 MODEL = [*BASIS, TABLES, FIRST, labels("asg", "z0")]
 
 
+def two_steps(start: str, order: str = "id", k: int = CLUSTERS) -> list[str]:
+    """CTEs of two moves of k centers; names begin with ``start``, the last centers are ``{start}2``."""
+    z, a, h = (f"{start}{x}" for x in ("", "a", "h"))
+    out = [first_centers(f"{z}0", k, order)]
+    for n in (0, 1):
+        out += [labels(f"{a}{n}", f"{z}{n}"), counted(f"{h}{n}", f"{a}{n}"), moved(f"{z}{n + 1}", f"{z}{n}", f"{h}{n}")]
+    return out
+
+
 def ask(ctes: list[str], select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
 
@@ -56,7 +74,43 @@ def ask(ctes: list[str], select: str) -> str:
 SMILES = "repeat('C', CAST(1 + p_size % 12 AS BIGINT)) || (CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'O' WHEN 2 THEN 'N' ELSE 'Cl' END)"
 CHAIN = "chain AS (SELECT p_partkey, 1 + p_size % 12 AS c, 1 + p_size % 12 + CASE p_partkey % 4 WHEN 0 THEN 0 ELSE 1 END AS h, p_partkey % 4 AS g FROM part)"
 
+#: All 42 counts of such a chain: those of atoms, bonds, polarity and topology that are not always 0.
+_COUNTS = {0: "c", 2: "(g = 3)::INT", 7: "(g = 2)::INT", 9: "(g = 1)::INT", 11: "h", 12: "h - 1", 18: "greatest(h - 3, 0)", 19: "CASE g WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END", 20: "(g IN (1, 2))::INT",
+           21: "CASE g WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END", 22: "(g IN (1, 2))::INT", 25: "CASE WHEN h > 1 THEN 2 ELSE 0 END", 26: "greatest(h - 2, 0)"}
+MQN = f"list_transform([{', '.join(_COUNTS.get(k, '0') for k in range(42))}], lambda x: CAST(x AS BIGINT))"
+MOLECULES = f"m AS (SELECT p.p_partkey AS id, {SMILES} AS smiles, {MQN} AS fp FROM part p JOIN chain USING (p_partkey))"
+
+
+def molecule_clusters(order: str) -> str:
+    """Two iterations of a codebook of 8 words for 6 subspaces, and of 4 centers, then every molecule's label."""
+    ctes = [CHAIN, MOLECULES, "v AS (SELECT id, smiles, fp FROM m)", first_words(8, 6, 7, order), codes("e0", "cb", 7), moved_words("cb1", "cb", "e0", 7), codes("e1", "cb1", 7), moved_words("cb2", "cb1", "e1", 7)]
+    ctes += [codes("enc", "cb2", 7), distance_tables("cb2"), *two_steps("z", order, 4), labels("asg", "z2")]
+    return ask(ctes, "SELECT m.smiles, CAST(cluster_id AS INTEGER) AS cluster_id FROM asg JOIN m USING (id)")
+
+
+def sweep(k: int) -> str:
+    return f"""SELECT {k} AS k, CAST(sum(d) AS DOUBLE) AS inertia, round(sum(d) / sum(size), 6) AS avg_dist, CAST({k} - count(*) AS BIGINT) AS n_empty_clusters, round(100.0 * ({k} - count(*)) / {k}, 6)::DOUBLE AS pct_empty,
+        round(avg(size), 6) AS cluster_size_mean, round(median(size), 6) AS cluster_size_median, round(stddev_pop(size), 6) AS cluster_size_std, min(size) AS cluster_size_min, max(size) AS cluster_size_max, CAST(sum(size) AS BIGINT) AS n_subsample
+        FROM (SELECT cluster_id, count(*) AS size, sum(distance) AS d FROM asg{k} GROUP BY cluster_id)"""
+
+
+#: Edges of the five nearest of each distinct molecule; one is in the forest if those before it do not join its ends.
+FOREST = ask([CHAIN, MOLECULES, "u AS (SELECT min(id) AS id, any_value(fp) AS fp FROM m GROUP BY smiles)",
+              f"""near AS (SELECT src, dst, d FROM (SELECT a.id AS src, b.id AS dst, {apart('a.fp', 'b.fp')} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {apart('a.fp', 'b.fp')}, b.id) AS n FROM u a JOIN u b ON a.id <> b.id) WHERE n <= 5)""",
+              "e AS (SELECT src, dst, d, row_number() OVER (ORDER BY d, src, dst) AS r FROM near)",
+              "reach(r, src, dst, node) AS (SELECT r, src, dst, src FROM e UNION SELECT x.r, x.src, x.dst, CASE WHEN f.src = x.node THEN f.dst ELSE f.src END FROM reach x JOIN e f ON f.r < x.r AND (f.src = x.node OR f.dst = x.node))"],
+             "SELECT src, dst, round(sqrt(d), 6) AS dist FROM e WHERE r NOT IN (SELECT r FROM reach WHERE node = dst)").replace("WITH ", "WITH RECURSIVE ", 1)
+
 ORACLES = {
+    "stream_assign": molecule_clusters("id"),
+    "cluster_pipeline": molecule_clusters("md5('0|' || smiles), smiles"),
+    "k_sweep": ask([*BASIS, TABLES, *two_steps("p", "id", 4), labels("asg4", "p2"), *two_steps("q", "id", 8), labels("asg8", "q2")], f"{sweep(4)} UNION ALL {sweep(8)}"),
+    "tree_map": FOREST,
+    "scan_sdf": f"SELECT {SMILES} AS smiles FROM part",
+    "scan_npy": ask([VECTORS], "SELECT row_number() OVER (ORDER BY id) - 1 AS row, array_to_string(fp, ',') AS fp FROM v"),
+    "scan_codes": ask(BASIS, "SELECT string_agg(code, ',' ORDER BY s) AS codes FROM enc GROUP BY id"),
+    "model_io": ask(MODEL, "SELECT id, CAST(cluster_id AS INTEGER) AS cluster_id, distance FROM asg"),
+    "results_folder": ask([RESULTS], "SELECT cluster_id, count(*) AS molecule_count FROM results GROUP BY cluster_id"),
     "query_cluster": ask([RESULTS], "SELECT smiles, cluster_id FROM results WHERE cluster_id = 3"),
     "query_batch": ask([RESULTS], "SELECT smiles, cluster_id FROM results WHERE cluster_id IN (1, 5, 9)"),
     "cluster_stats": ask([RESULTS], "SELECT cluster_id, count(*) AS molecule_count FROM results GROUP BY cluster_id"),
@@ -93,8 +147,7 @@ ORACLES = {
     "label_agreement": ask(MODEL, "SELECT count(*) AS compared, count(*) FILTER (asg.cluster_id <> e.label) AS mismatches FROM asg JOIN embeddings e ON asg.id = e.vec_id"),
     "knn_graph": ask([VECTORS], f"""SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(sqrt(d), 6) AS dist FROM (SELECT a.id AS src, b.id AS dst, {apart('a.fp', 'b.fp')} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {apart('a.fp', 'b.fp')}, b.id) AS rank FROM v a JOIN v b ON a.id <> b.id) WHERE rank <= 5"""),
     "compression": "SELECT d, m, d * 4.0::DOUBLE / m AS ratio FROM (VALUES (42, 6), (1024, 8), (2048, 8), (64, 8), (30, 6), (20, 4)) x(d, m)",
-    "mqn": ask([CHAIN], """SELECT p_partkey, CAST(c AS INTEGER) AS c, CAST((g = 3)::INT AS INTEGER) AS cl, CAST((g = 2)::INT AS INTEGER) AS an, CAST((g = 1)::INT AS INTEGER) AS ao, CAST(h AS INTEGER) AS hac, CAST(h - 1 AS INTEGER) AS asb, CAST(greatest(h - 3, 0) AS INTEGER) AS rbc,
-        CAST(CASE g WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS INTEGER) AS hbam, CAST((g IN (1, 2))::INT AS INTEGER) AS hba, CAST(CASE g WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS hbdm, CAST((g IN (1, 2))::INT AS INTEGER) AS hbd, CAST(CASE WHEN h > 1 THEN 2 ELSE 0 END AS INTEGER) AS asv, CAST(greatest(h - 2, 0) AS INTEGER) AS adv FROM chain"""),
+    "mqn": ask([CHAIN, MOLECULES], "SELECT id AS p_partkey, array_to_string(fp, ',') AS fp FROM m"),
     "featurize_valid": "SELECT count(*) AS n_valid FROM part WHERE p_partkey % 5 <> 0",
     "mol_props": ask([CHAIN], "SELECT p_partkey, CAST(h AS DOUBLE) AS n_heavy_atoms, CAST((g IN (1, 2))::INT AS DOUBLE) AS hba, round(12.011 * c + CASE g WHEN 0 THEN 1.008 * (2 * c + 2) WHEN 1 THEN 15.999 + 1.008 * (2 * c + 2) WHEN 2 THEN 14.007 + 1.008 * (2 * c + 3) ELSE 35.45 + 1.008 * (2 * c + 1) END, 6)::DOUBLE AS mw FROM chain"),
 }

@@ -33,6 +33,7 @@ class Config:
     iterations: int = 20
     tol: float = 1e-3
     seed: int = 0
+    integer: bool = False  # codewords are whole numbers
 
     def to_json(self) -> str:
         return json.dumps(dataclasses.asdict(self), sort_keys=True)
@@ -42,7 +43,10 @@ STAGES = ("features", "encoder", "codes", "clusters", "assigned")
 
 
 class Pipeline:
-    """Molecules are read and described once; later stages read what is stored."""
+    """Molecules are read and described once; later stages read what is stored.
+
+    Starts are drawn by the SMILES, so a seed gives the same result however the input is split into files.
+    """
 
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config
@@ -72,15 +76,15 @@ class Pipeline:
     def features(self) -> None:
         c = self.config
         rows = featurize(scan_text(self.spark, c.source, c.col), c.kind, **dict(c.params))
-        rows.withColumn("id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{c.out}/features")
+        rows.write.mode("overwrite").parquet(f"{c.out}/features")
 
     def encoder(self) -> None:
         c, rows = self.config, self._table("features")
         # drawn once by a hash threshold and stored, so every iteration reads all its partitions in parallel
-        share_drawn(rows, c.n_train, c.seed, "id").select("id", "fp").write.mode("overwrite").parquet(f"{c.out}/train")
+        share_drawn(rows, c.n_train, c.seed, "smiles").select("smiles", "fp").write.mode("overwrite").parquet(f"{c.out}/train")
         train = self._table("train")
         m = c.m or auto_m(rows.select(F.size("fp")).first()[0])
-        PQEncoder(c.k_codes, m, c.pq_iterations, c.seed, "random").fit(train).save(self.spark, f"{c.out}/encoder")
+        PQEncoder(c.k_codes, m, c.pq_iterations, c.seed, "random", c.integer).fit(train, id_col="smiles").save(self.spark, f"{c.out}/encoder")
 
     def codes(self) -> None:
         PQModel.load(self.spark, f"{self.config.out}/encoder").encode(self._table("features")).drop("fp").write.mode("overwrite").parquet(f"{self.config.out}/codes")
@@ -88,7 +92,7 @@ class Pipeline:
     def clusters(self) -> None:
         c = self.config
         model = PQKMeans(PQModel.load(self.spark, f"{c.out}/encoder"), c.k_clusters, c.iterations, c.tol, c.seed, "random", dedupe=True)
-        model.fit(self._table("codes")).save(self.spark, f"{c.out}/clusters")
+        model.fit(self._table("codes"), id_col="smiles").save(self.spark, f"{c.out}/clusters")
 
     def assigned(self) -> None:
         model = PQKMeansModel.load(self.spark, f"{self.config.out}/clusters")

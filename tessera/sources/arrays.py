@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.paths import expand_paths
+from tessera.sources.paths import expand_paths, write_bytes
 
 
 def scan_npy(spark: SparkSession, source: str | list[str], limit: int | None = None, npz_key: str | None = None, name: str = "fp") -> DataFrame:
@@ -81,15 +81,21 @@ def gen_codes(spark: SparkSession, n: int, m: int, k: int = 256, seed: int = 0)
     return spark.range(n).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(s)), F.lit(k)).cast("int") for s in range(m)]).alias("codes"))
 
 
-def save_chunk(chunk: np.ndarray | pd.DataFrame, folder: str, index: int, file_format: str = "npy", name: str = "chunk") -> str:
-    """Writes one chunk that the driver holds as ``{name}_{index:05d}`` and returns the path."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{name}_{index:05d}.{file_format}")
+def save_chunk(chunk: np.ndarray | pd.DataFrame, folder: str, index: int, file_format: str = "npy", name: str = "chunk", spark: SparkSession | None = None) -> str:
+    """Writes one chunk that the driver holds as ``{name}_{index:05d}`` and returns the path; with a session, on any file system."""
+    out = io.BytesIO()
     if file_format == "npy":
-        np.save(path, np.asarray(chunk))
+        np.save(out, np.asarray(chunk))
     elif file_format == "parquet":
-        frame = chunk if isinstance(chunk, pd.DataFrame) else pd.DataFrame(np.asarray(chunk), columns=[f"fp_{i}" for i in range(np.asarray(chunk).shape[1])])
-        frame.to_parquet(path, index=False)
+        wide = chunk if isinstance(chunk, pd.DataFrame) else pd.DataFrame(np.asarray(chunk), columns=[f"fp_{i}" for i in range(np.asarray(chunk).shape[1])])
+        wide.to_parquet(out, index=False)
     else:
         raise ValueError(f"format {file_format!r} is not npy or parquet")
+    path = f"{folder.rstrip('/')}/{name}_{index:05d}.{file_format}"
+    if spark is not None:
+        write_bytes(spark, path, out.getvalue())
+    else:
+        os.makedirs(folder, exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(out.getvalue())
     return path

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +48,31 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that executors share with the driver, gone when the driver ends.
+
+    It is below ``spark.checkpoint.dir``; where that is unset, a local master takes its own disk and any other is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    fs, where = _fs(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One small file of the driver's, on the path's own file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(text.encode()))
+    fs, where = _fs(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(content))
     out.close()
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.functions.fingerprints import featurize, format_time, mol_props, morgan, mqn
-from tessera.functions.smiles import SmilesError, from_molblock, parse, to_smiles
+from tessera.functions.smiles import SmilesError, from_molblock, parse, to_molblock, to_smiles
 from tessera.operators.graph import knn_graph, spanning_tree, tree_map
 from tessera.plans.pipeline import Config, Pipeline
 from tessera.sources import arrays, text
@@ -88,6 +88,9 @@ def test_scans(spark, tmp_path):
 def test_sdf(spark, tmp_path):
     block = "\n  x\n\n  3  2  0  0  0  0  0  0  0  0999 V2000\n" + "".join(f"{0.0:10.4f}{0.0:10.4f}{0.0:10.4f} {s:<3} 0  0\n" for s in "CCO") + "  1  2  1  0\n  2  3  1  0\nM  END\n"
     assert to_smiles(from_molblock(block)) == "CCO" and from_molblock("junk") is None
+    for smiles in ("CCO", "c1ccccc1", "CC(=O)[O-]", "C[N+](C)(C)C", "C#N", "FC(Cl)Br"):
+        again = from_molblock(to_molblock(parse(smiles)))
+        assert mqn(again) == mqn(parse(smiles)), smiles
     (tmp_path / "m.SDF").write_text(block + "$$$$\n" + "junk\n$$$$\n" + block + "$$$$\n")
     assert [r.smiles for r in text.scan_text(spark, str(tmp_path / "m.SDF")).collect()] == ["CCO", "CCO"]
 
