@@ -4,22 +4,28 @@ Vectors are made integers, x -> floor(SCALE * x).  With one more coordinate, sqr
 rows (M the greatest squared norm) and 0 for queries, the squared Euclidean distance is
 |q|^2 + M - 2 q.x, so nearest is highest, and scores stay exact integers.
 
-Index: at most PIVOTS routing vectors, from a bounded sample, part all rows; a part is cut into
-pages of about PAGE_ROWS rows, each an M-tree: nodes with a routing vector, covering radius and the
-distance to their parent, and entries with theirs.  Every row is indexed.  Search: a query first
-visits the nearest page that can fill its k places, which bounds its k-th score; then every page
-whose part may reach that bound by pivot distance and covering radius.  In a page the
-nodes wait in a queue by the least distance they allow; triangle inequalities on stored parent
-distances skip nodes and entries before any distance is computed.  Queries meet pages in blocks of QUERY_BLOCK.
+Index: a tree of metric nodes.  Its upper two levels are routing vectors, at most PIVOTS and below
+them about one for PAGE_ROWS rows, ROUTES in all, drawn by hash order; a row belongs to the nearest of the
+first and then to the nearest of that one's.  Each has its covering radius, least distance and distance to its parent.  Rows of a
+route are its page (several, by hash, only where it holds far more than PAGE_ROWS rows), and a page
+has routing nodes with a vector, radius and parent distance above its entries with theirs, stored as plain columns,
+a row per node.  Every row is indexed.
+
+Search: a query first visits the nearest page that can fill its k places, which bounds its k-th
+score; then every page that may reach that bound, by the upper levels' radii, where stored parent
+distances spare the distances to most routes.  In a page the nodes wait in a queue by the least distance
+they allow; triangle inequalities on stored parent distances skip nodes and entries before any
+distance is computed.  Queries meet pages in blocks of QUERY_BLOCK.
 
 Rows without vec_id, and vectors null or with null or non-finite components take no part, nor do
-vectors of another length than most.  Equal scores go to the smaller vec_id; repeated rows are rows of their own.
+vectors of another length than most.  Scores must fit a long: a vector whose integer components'
+squares sum to 2**62 or more is refused with an error.  Equal scores go to the smaller vec_id; repeated rows are rows of their own.
+An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +36,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, table, text_batches
 
 SCALE = 1024
-#: Routing vectors at most, the sample that they come from, and rows of a page.
-PIVOTS, SAMPLE, PAGE_ROWS = 512, 20_000, 2000
-#: Entries of a tree's node.
+#: Routing vectors of the first level at most, those of the second, and rows of a page that they aim at.
+PIVOTS, ROUTES, PAGE_ROWS = 256, 32_000, 2000
+#: Entries of a page's node.
 NODE_ROWS = 50
 QUERY_BLOCK = 5000
 #: Distances are floats; bounds are widened by this share.
 SLACK = 1e-9
+#: Squared norms from which a score might not fit a long.
+NORM = 1 << 62
 
 
 def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -50,7 +58,12 @@ def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) ->
                     continue
                 x = np.array(v, dtype=np.float64)
                 if np.isfinite(x).all():
-                    x = np.floor(scale * x).astype("<i8")
+                    with np.errstate(over="ignore"):
+                        x = np.floor(scale * x)
+                        norm = float(x @ x)
+                    if not norm < NORM * (1 - 1e-9):
+                        raise ValueError(f"{id_col} {i}: components of this size give scores beyond 64 bits")
+                    x = x.astype("<i8")
                     rows.append((i, len(x), int(x @ x), x.tobytes()))
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["vec_id", "dim", "norm", "vec"])
@@ -58,86 +71,153 @@ def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) ->
     return df.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "vec_id long, dim int, norm long, vec binary").withColumn("row", F.monotonically_increasing_id())
 
 
-class MTree:
-    """Of one page, bulk loaded: two levels of routing nodes above the entries."""
-
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, top: int):
-        """``vectors`` are integers; ``top`` is the greatest squared norm of all rows."""
-        self.top, self.root = top, vectors[0]
-        last = self._last(vectors)
-        to_root = self._distances(vectors, last, vectors[0], last[0])
-        self.nodes = []
-        many = max(1, -(-len(vectors) // NODE_ROWS))
-        pick = np.linspace(0, len(vectors) - 1, many).astype(int)
-        apart = np.stack([self._distances(vectors, last, vectors[p], last[p]) for p in pick], axis=1)
-        own = apart.argmin(axis=1)
-        for k, p in enumerate(pick):
-            mine = np.flatnonzero(own == k)
-            if len(mine):
-                d = apart[mine, k]
-                order = mine[np.argsort(d)]
-                self.nodes.append((vectors[p], last[p], float(to_root[p]), float(d.max()), vectors[order], np.sort(d), ids[order], rows[order]))
-        self.root_last = last[0]
-
-    def _last(self, vectors: np.ndarray) -> np.ndarray:
-        return np.sqrt((self.top - (vectors * vectors).sum(axis=-1)).astype(np.float64))
-
-    @staticmethod
-    def _distances(vectors: np.ndarray, last: np.ndarray, v: np.ndarray, own: float) -> np.ndarray:
-        apart = (vectors - v).astype(np.float64)
-        return np.sqrt((apart * apart).sum(axis=-1) + (last - own) ** 2)
-
-    def search(self, query: np.ndarray, own_row: int, k: int, least: int | None) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of this page but the query's own row, of score ``least`` and more."""
-        size = int(query @ query)
-        limit = lambda score: np.sqrt(max(0, size + self.top - 2 * score)) * (1 + SLACK) + SLACK
-        best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst of the best on top
-        reach = np.inf if least is None else limit(least)
-        from_root = float(np.sqrt(((query - self.root).astype(np.float64) ** 2).sum() + self.root_last ** 2))
-        queue = [(max(0.0, abs(from_root - node[2]) - node[3]), n, False) for n, node in enumerate(self.nodes)]
-        heapq.heapify(queue)
-        while queue:
-            low, n, measured = heapq.heappop(queue)
-            if low > reach:
-                break
-            vector, last, _, radius, members, parent, ids, rows = self.nodes[n]
-            to_node = float(np.sqrt(((query - vector).astype(np.float64) ** 2).sum() + last ** 2))
-            if not measured:
-                heapq.heappush(queue, (max(low, to_node - radius, 0.0), n, True))
+def _last(vectors: np.ndarray, top: int) -> np.ndarray:
+    """The added coordinate of rows."""
+    return np.sqrt((top - (vectors * vectors).sum(axis=-1)).astype(np.float64))
+
+
+def _distances(vectors: np.ndarray, last: np.ndarray, v: np.ndarray, own: float) -> np.ndarray:
+    apart = (vectors - v).astype(np.float64)
+    return np.sqrt((apart * apart).sum(axis=-1) + (last - own) ** 2)
+
+
+def _reach(size: int, top: int, score: int) -> float:
+    """The distance at which a row has this score for a query of squared norm ``size``."""
+    return float(np.sqrt(max(0, size + top - 2 * score))) * (1 + SLACK) + SLACK
+
+
+Node = tuple[np.ndarray, float, float, float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def page_nodes(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, route: np.ndarray, top: int) -> list[Node]:
+    """Of a page below the vector ``route``: (vector, last, distance to route, radius, entries, their distances in order, ids, rows)."""
+    last, out = _last(vectors, top), []
+    to_route = _distances(vectors, last, route, float(_last(route, top)))
+    many = max(1, -(-len(vectors) // NODE_ROWS))
+    pick = np.argsort(to_route, kind="stable")[np.linspace(0, len(vectors) - 1, many).astype(int)]
+    apart = np.stack([_distances(vectors, last, vectors[p], last[p]) for p in pick], axis=1)
+    own = apart.argmin(axis=1)
+    for k, p in enumerate(pick):
+        mine = np.flatnonzero(own == k)
+        if len(mine):
+            order = mine[np.argsort(apart[mine, k])]
+            d = apart[order, k]
+            out.append((vectors[p], float(last[p]), float(to_route[p]), float(d[-1]), vectors[order], d, ids[order], rows[order]))
+    return out
+
+
+def search(nodes: list[Node], route: np.ndarray, top: int, query: np.ndarray, own_row: int, k: int, least: int | None) -> list[tuple[int, int]]:
+    """The k best (score, vec_id) of a page but the query's own row, of score ``least`` and more."""
+    size = int(query @ query)
+    best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst of the best on top
+    reach = np.inf if least is None else _reach(size, top, least)
+    from_route = float(_distances(query, 0.0, route, float(_last(route, top))))
+    queue = [(max(0.0, abs(from_route - node[2]) - node[3]), n, False) for n, node in enumerate(nodes)]
+    heapq.heapify(queue)
+    while queue:
+        low, n, measured = heapq.heappop(queue)
+        if low > reach:
+            break
+        vector, last, _, radius, members, parent, ids, rows = nodes[n]
+        to_node = float(_distances(query, 0.0, vector, last))
+        if not measured:
+            heapq.heappush(queue, (max(low, to_node - radius, 0.0), n, True))
+            continue
+        a, b = np.searchsorted(parent, to_node - reach - SLACK), np.searchsorted(parent, to_node + reach + SLACK, side="right")
+        scores = members[a:b] @ query
+        for score, i, row in zip(scores.tolist(), ids[a:b].tolist(), rows[a:b].tolist()):
+            if row == own_row or least is not None and score < least:
                 continue
-            a, b = np.searchsorted(parent, to_node - reach - SLACK), np.searchsorted(parent, to_node + reach + SLACK, side="right")
-            scores = members[a:b] @ query
-            for score, i, row in zip(scores.tolist(), ids[a:b].tolist(), rows[a:b].tolist()):
-                if row == own_row or least is not None and score < least:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (score, -i))
-                elif (score, -i) > best[0]:
-                    heapq.heapreplace(best, (score, -i))
-            if len(best) == k:
-                reach = min(reach, limit(best[0][0]))
-        return [(score, -i) for score, i in best]
-
-
-def _visit(pages: DataFrame, visits: DataFrame, top: int, k: int) -> DataFrame:
-    """(query_row, query_id, vec_id, score) of every visit of a query to a page."""
-    blocks = visits.groupBy("page", "block").agg(F.count("*").alias("queries")).select("page", "block")
-    trees = pages.join(blocks, "page").select("page", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("long").alias("least"), F.col("tree").alias("data"))
-    rows = trees.union(visits.select("page", "block", F.lit(1).alias("kind"), "row", "vec_id", "least", F.col("vec").alias("data")))
+            if len(best) < k:
+                heapq.heappush(best, (score, -i))
+            elif (score, -i) > best[0]:
+                heapq.heapreplace(best, (score, -i))
+        if len(best) == k:
+            reach = min(reach, _reach(size, top, best[0][0]))
+    return [(score, -i) for score, i in best]
+
+
+class Routes:
+    """The upper two levels: first vectors, and second ones in the order of their first."""
+
+    def __init__(self, firsts: np.ndarray, seconds: np.ndarray, of: np.ndarray, top: int):
+        self.firsts, self.seconds, self.of, self.top = firsts, seconds, of, top
+        self.first_last, self.second_last = _last(firsts, top), _last(seconds, top)
+        self.starts = np.searchsorted(of, np.arange(len(firsts) + 1))
+        self.to_parent = np.array([_distances(seconds[n], self.second_last[n], firsts[f], self.first_last[f]) for n, f in enumerate(of.tolist())])
+        zero = np.zeros(len(seconds))
+        self.radius, self.inner, self.held, self.pages = zero, zero.copy(), zero.astype(np.int64), zero.astype(np.int64)
+
+    def measure(self, found: dict[int, tuple[int, float, float]]) -> None:
+        """Takes (rows, least and greatest distance) of each second vector."""
+        for n, (held, low, high) in found.items():
+            self.held[n], self.inner[n], self.radius[n] = held, low, high
+        self.pages = np.where(self.held > 2 * PAGE_ROWS, -(-self.held // PAGE_ROWS), (self.held > 0).astype(np.int64))
+        self.before = np.cumsum(self.pages) - self.pages
+        some = self.held > 0
+        reach = np.where(some, self.to_parent + self.radius, 0.0)
+        self.cover = np.array([reach[a:b].max(initial=0.0) for a, b in zip(self.starts, self.starts[1:])])
+
+    def nearest(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row its second vector, and the distance to it."""
+        last = _last(v, self.top)
+        first = np.stack([_distances(v, last, p, q) for p, q in zip(self.firsts, self.first_last)], axis=1).argmin(axis=1)
+        route, apart = np.empty(len(v), dtype=np.int64), np.empty(len(v))
+        for f in np.unique(first).tolist():
+            mine, below = np.flatnonzero(first == f), range(self.starts[f], self.starts[f + 1])
+            d = np.stack([_distances(v[mine], last[mine], self.seconds[n], self.second_last[n]) for n in below], axis=1)
+            route[mine], apart[mine] = d.argmin(axis=1) + self.starts[f], d.min(axis=1)
+        return route, apart
+
+    def visits(self, query: np.ndarray, least: int | None, k: int) -> list[int]:
+        """Routes to visit: at first the nearest ones that hold k others; with a bound, all that may reach it."""
+        to_first = _distances(self.firsts, self.first_last, query, 0.0)
+        if least is None:
+            out, held = [], 0
+            for f in np.argsort(to_first).tolist():
+                below = np.arange(self.starts[f], self.starts[f + 1])
+                below = below[self.held[below] > 0]
+                for n in below[np.argsort(_distances(self.seconds[below], self.second_last[below], query, 0.0))].tolist():
+                    out.append(n)
+                    held += self.held[n] // self.pages[n]
+                    if held > k:
+                        return out
+            return out
+        reach = _reach(int(query @ query), self.top, least)
+        near = np.concatenate([np.arange(self.starts[f], self.starts[f + 1]) for f in np.flatnonzero(to_first - self.cover <= reach)] or [np.zeros(0, dtype=np.int64)])
+        near = near[self.held[near] > 0]
+        near = near[np.abs(to_first[self.of[near]] - self.to_parent[near]) - self.radius[near] <= reach]
+        apart = _distances(self.seconds[near], self.second_last[near], query, 0.0)
+        return near[np.maximum(apart - self.radius[near], self.inner[near] - apart) <= reach].tolist()
+
+
+NODE = "page long, route binary, vector binary, last double, parent double, radius double, entries binary, apart binary, ids binary, rows binary"
+NODE_NAMES = [c.split()[0] for c in NODE.split(", ")]
+
+
+def _visit(nodes: DataFrame, visits: DataFrame, top: int, k: int) -> DataFrame:
+    """(row, query_id, vec_id, score) of every visit of a query to a page."""
+    blocks = visits.select("page", "block").distinct()
+    asked = visits.select("page", "block", F.lit(1).alias("kind"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in NODE.split(", ")[1:]], "row", "vec_id", "least", "vec")
+    held = nodes.join(blocks, "page").select("page", "block", F.lit(0).alias("kind"), *NODE_NAMES[1:], *[F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("vec_id", "long"), ("least", "long"), ("vec", "binary"))])
+    whole = lambda x: np.frombuffer(x, dtype="<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = None
+        at, page = None, []
         for batch in batches:
             found = []
-            for kind, row, vec_id, least, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "row", "vec_id", "least", "data"))):
-                if kind == 0:
-                    tree = pickle.loads(data)
-                else:
-                    found += [(row, vec_id, i, score) for score, i in tree.search(np.frombuffer(data, dtype="<i8"), row, k, least)]
+            for r in batch.to_pylist():
+                if (r["page"], r["block"]) != at:
+                    at, page = (r["page"], r["block"]), []
+                if r["kind"] == 0:
+                    v, route = whole(r["vector"]), whole(r["route"])
+                    page.append((v, r["last"], r["parent"], r["radius"], whole(r["entries"]).reshape(-1, len(v)), np.frombuffer(r["apart"], dtype="<f8"), whole(r["ids"]), whole(r["rows"])))
+                elif page:
+                    found += [(r["row"], r["vec_id"], i, score) for score, i in search(page, route, top, whole(r["vec"]), r["row"], k, r["least"])]
             columns = list(zip(*found)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
-    return rows.repartition("page", "block").sortWithinPartitions("page", "block", "kind").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    return held.union(asked).repartition("page", "block").sortWithinPartitions("page", "block", "kind").mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -145,89 +225,95 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _drawn(every: DataFrame, total: int, top: int, scratch: Scratch) -> Routes:
+    """Routing vectors of both levels: rows in hash order, so at most ROUTES come to the driver."""
+    wanted = min(ROUTES, -(-total // PAGE_ROWS))
+    picked = every.orderBy(F.xxhash64("row"), "row").limit(wanted).select("vec").collect()
+    seconds = np.unique(np.stack([np.frombuffer(r.vec, dtype="<i8") for r in picked]), axis=0)
+    many = min(PIVOTS, int(np.ceil(np.sqrt(len(seconds)))))
+    firsts = seconds[np.random.default_rng(0).choice(len(seconds), many, replace=False)]
+    last, first_last = _last(seconds, top), _last(firsts, top)
+    of = np.stack([_distances(seconds, last, p, q) for p, q in zip(firsts, first_last)], axis=1).argmin(axis=1)
+    order = np.argsort(of, kind="stable")
+    return Routes(firsts, seconds[order], of[order], top)
+
+
 def top_k(df: DataFrame, queries: F.Column, scratch: Scratch, k: int = 10, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where ``queries`` (over vec_id) holds, the k best other rows."""
     spark = df.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
     every = scratch.write(integer_vectors(df, scale, id_col, vector_col), "vectors")
-    usual = every.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    usual = every.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").first()
     if usual is None:
-        return spark.createDataFrame([], schema)
-    every = every.where(F.col("dim") == usual.dim)
-    total, top = every.agg(F.count("*"), F.max("norm")).first()
-    picked = every.orderBy(F.xxhash64("row"), "row").limit(min(PIVOTS, -(-total // PAGE_ROWS))).select("vec").collect()
-    pivots = np.unique(np.stack([np.frombuffer(r.vec, dtype="<i8") for r in picked]), axis=0)
-    lasts = np.sqrt((top - (pivots * pivots).sum(axis=1)).astype(np.float64))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    every, top = every.where(F.col("dim") == usual.dim), usual.top
+    routes = _drawn(every, usual.n, top, scratch)
+    shared = spark.sparkContext.broadcast(routes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.frombuffer(b"".join(batch.column("vec").to_pylist()), dtype="<i8").reshape(batch.num_rows, -1)
-            last = np.sqrt((top - (v * v).sum(axis=1)).astype(np.float64)) if len(v) else np.zeros(0)
-            apart = np.stack([MTree._distances(v, last, p, q) for p, q in zip(pivots, lasts)], axis=1) if len(v) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("vec"), pa.array(apart.argmin(axis=1).astype(np.int32)), pa.array(apart.min(axis=1))], names=["row", "vec_id", "vec", "part", "parent"])
-
-    assigned = scratch.write(every.select("row", "vec_id", "vec").mapInArrow(assign, "row long, vec_id long, vec binary, part int, parent double"), "assigned")
-    parts = {r.part: r for r in assigned.groupBy("part").agg(F.count("*").alias("n"), F.max("parent").alias("radius"), F.min("parent").alias("inner")).collect()}  # one row per pivot
-    pages_of = np.array([-(-parts[p].n // PAGE_ROWS) if p in parts else 0 for p in range(len(pivots))])
-    radius = np.array([parts[p].radius if p in parts else 0.0 for p in range(len(pivots))])
-    inner = np.array([parts[p].inner if p in parts else 0.0 for p in range(len(pivots))])
-    held = np.array([parts[p].n if p in parts else 0 for p in range(len(pivots))])
-    before = np.concatenate([[0], np.cumsum(pages_of)])
-    offset = F.element_at(F.array(*map(F.lit, before.tolist())), F.col("part") + 1)
-    count = F.element_at(F.array(*map(F.lit, pages_of.tolist())), F.col("part") + 1)
+            if batch.num_rows:
+                v = np.frombuffer(b"".join(batch.column("vec").to_pylist()), dtype="<i8").reshape(batch.num_rows, -1)
+                route, apart = shared.value.nearest(v)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "vec")), pa.array(route), pa.array(apart)], names=["row", "vec_id", "vec", "route", "apart"])
+
+    assigned = scratch.write(every.select("row", "vec_id", "vec").mapInArrow(assign, "row long, vec_id long, vec binary, route long, apart double"), "assigned")
+    sizes = assigned.groupBy("route").agg(F.count("*").alias("n"), F.min("apart").alias("low"), F.max("apart").alias("high")).collect()  # at most ROUTES
+    routes.measure({r.route: (r.n, r.low, r.high) for r in sizes})
+    shared.unpersist()
+    shared = spark.sparkContext.broadcast(routes)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, route = shared.value, batch.column("route").to_numpy(zero_copy_only=False)
+            page = r.before[route] + batch.column("hash").to_numpy(zero_copy_only=False) % r.pages[route]
+            yield pa.RecordBatch.from_arrays([pa.array(page), *(batch.column(c) for c in ("route", "row", "vec_id", "vec"))], names=["page", "route", "row", "vec_id", "vec"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, rows = None, []
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
         def done() -> pa.RecordBatch:
-            tree = MTree(np.stack([np.frombuffer(r[2], dtype="<i8") for r in rows]), np.array([r[1] for r in rows]), np.array([r[0] for r in rows]), top)
-            return pa.RecordBatch.from_arrays([pa.array([page], type=pa.int64()), pa.array([pickle.dumps(tree)], type=pa.binary())], names=["page", "tree"])
+            route = shared.value.seconds[rows[0][0]]
+            found = page_nodes(np.stack([np.frombuffer(r[3], dtype="<i8") for r in rows]), np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), route, top)
+            out = [(page, route.tobytes(), v.tobytes(), last, parent, radius, *(x.tobytes() for x in more)) for v, last, parent, radius, *more in found]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], names=NODE_NAMES)
 
         for batch in batches:
-            for p, row, i, v in zip(*(batch.column(c).to_pylist() for c in ("page", "row", "vec_id", "vec"))):
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("page", "route", "row", "vec_id", "vec"))):
                 if p != page and rows:
                     yield done()
                     rows = []
                 page = p
-                rows.append((row, i, v))
+                rows.append(row)
         if rows:
             yield done()
 
-    numbered = assigned.select((offset + F.pmod(F.xxhash64("row"), count)).cast("long").alias("page"), "row", "vec_id", "vec")
-    pages = scratch.write(numbered.repartition("page").sortWithinPartitions("page", "row").mapInArrow(build, "page long, tree binary"), "pages")
+    hashed = assigned.select("route", "row", "vec_id", "vec", F.pmod(F.xxhash64("row"), F.lit(1 << 40)).alias("hash"))
+    paged = hashed.mapInArrow(numbered, "page long, route long, row long, vec_id long, vec binary")
+    nodes = scratch.write(paged.repartition("page").sortWithinPartitions("page", "row").mapInArrow(build, NODE), "nodes")
     asked = assigned.where(queries).select("row", "vec_id", "vec")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("row"), F.lit(blocks))
-
-    def route(first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for row, i, v, least in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "vec", "least"))):
-                    q = np.frombuffer(v, dtype="<i8")
-                    apart = np.sqrt(((pivots - q).astype(np.float64) ** 2).sum(axis=1) + lasts ** 2)
-                    order = np.argsort(apart)
-                    order = order[held[order] > 0]
-                    if first:
-                        enough = int(np.searchsorted(np.cumsum(held[order] // np.maximum(pages_of[order], 1)), k + 1)) + 1
-                        out += [(row, i, v, None, int(p), 1) for p in order[:enough]]
-                    else:
-                        reach = np.inf if least is None else np.sqrt(max(0, int(q @ q) + top - 2 * least)) * (1 + SLACK) + SLACK
-                        low = np.maximum(apart - radius, inner - apart)
-                        out += [(row, i, v, least, int(p), int(pages_of[p])) for p in order[low[order] <= reach]]
-                columns = list(zip(*out)) or [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["row", "vec_id", "vec", "least", "part", "pages"])
-
-        return run
-
-    routed = "row long, vec_id long, vec binary, least long, part int, pages int"
-    nearest = asked.withColumn("least", F.lit(None).cast("long")).mapInArrow(route(True), routed)
-    nearest = nearest.select((offset + F.lit(0)).cast("long").alias("page"), block.alias("block"), "row", "vec_id", "vec", "least")
-    bound = scratch.write(_best(_visit(pages, nearest, top, k), k).where(F.col("rank") == k).select("row", F.col("score").alias("least")), "bound")
-    rest = asked.join(bound, "row", "left").mapInArrow(route(False), routed)
-    rest = rest.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select((offset + F.col("nth")).cast("long").alias("page"), block.alias("block"), "row", "vec_id", "vec", "least")
-    return _best(_visit(pages, rest, top, k), k).select("query_id", "rank", "vec_id", "score")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = shared.value
+        for batch in batches:
+            out = []
+            for row, i, v, least in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "vec", "least"))):
+                found = r.visits(np.frombuffer(v, dtype="<i8"), least, k)
+                for n in found:
+                    many = int(r.pages[n]) if least is not None or len(found) > 1 else 1
+                    out += [(int(r.before[n]) + p, row, i, v, least) for p in range(many)]
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["page", "row", "vec_id", "vec", "least"])
+
+    def routed(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(route, "page long, row long, vec_id long, vec binary, least long").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+
+    nearest = routed(asked.withColumn("least", F.lit(None).cast("long")))
+    bound = scratch.write(_best(_visit(nodes, nearest, top, k), k).where(F.col("rank") == k).select("row", F.col("score").alias("least")), "bound")
+    bounded = asked.join(bound, "row", "left").withColumn("least", F.coalesce("least", F.lit(-NORM)))  # fewer than k others: all pages
+    return _best(_visit(nodes, routed(bounded), top, k), k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

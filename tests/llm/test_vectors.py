@@ -21,6 +21,7 @@ def made(seed, n=600, dim=16):
 def test_top_k(spark, monkeypatch, page):
     monkeypatch.setattr(metric_search, "PAGE_ROWS", page)
     monkeypatch.setattr(metric_search, "NODE_ROWS", 7)
+    monkeypatch.setattr(metric_search, "ROUTES", 6)
     rows = [*made(1), *ODD, (None, [1.0] * 16, 1, 0), (50, made(1)[0][1], 2, 0)]
     out = metric_search.top_k(spark.createDataFrame(rows, SCHEMA).repartition(4), F.col("vec_id") % 20 == 0, Scratch(spark)).collect()
     held = [(k, r[0], np.floor(1024 * np.array(r[1])).astype(int)) for k, r in enumerate(rows) if r[0] is not None and r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all()]
@@ -32,6 +33,14 @@ def test_top_k(spark, monkeypatch, page):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(want)
 
 
+def test_scores_beyond_64_bits_are_refused(spark):
+    far = spark.createDataFrame([(0, [1.5e6, -1.0e6], 1, 0), (1, [1.25e6, 1.0], 1, 0), (2, [-1.0, 7.0], 1, 0)], "vec_id long, embedding array<double>, label int, row int")
+    got = {r.vec_id: r.score for r in metric_search.top_k(far, F.col("vec_id") == 0, Scratch(spark)).collect()}
+    assert got == {1: 1024**2 * (1_500_000 * 1_250_000 - 1_000_000), 2: 1024**2 * (-1_500_000 - 7_000_000)}
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        metric_search.top_k(far.union(spark.createDataFrame([(3, [1e300, 1.0], 1, 0)], far.schema)), F.col("vec_id") == 0, Scratch(spark)).collect()
+
+
 def test_top_k_small_tables(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], 1, 0), (1, [1.0, 1.0], 1, 0), (2, [1.0, 1.0], 1, 0)], SCHEMA)
     got = metric_search.top_k(few, F.col("vec_id") == 0, Scratch(spark)).orderBy("rank").collect()
