@@ -54,15 +54,16 @@ def nearest(x: np.ndarray, codewords: np.ndarray) -> np.ndarray:
     rows = max(1, BLOCK_BYTES // (8 * k))
     for s in range(m):
         words = codewords[s]
-        square = (words * words).sum(axis=1)
+        square, turned = (words * words).sum(axis=1), np.ascontiguousarray(-2 * words.T)
         for a in range(0, len(x), rows):
             part = x[a:a + rows, s * width:(s + 1) * width]
-            apart = square - 2 * (part @ words.T)
+            apart = part @ turned
+            apart += square
             least = apart.min(axis=1)
             slack = SLACK * ((part * part).sum(axis=1) + square.max(initial=0.0))
             close = apart <= (least + slack)[:, None]
             code = close.argmax(axis=1)
-            for r in np.flatnonzero(close.sum(axis=1) > 1).tolist():
+            for r in np.flatnonzero(np.count_nonzero(close, axis=1) > 1).tolist():
                 some = np.flatnonzero(close[r])
                 code[r] = some[((part[r] - words[some]) ** 2).sum(axis=1).argmin()]
             out[a:a + rows, s] = code

@@ -136,3 +136,18 @@ def test_early_stop(spark):
     assert model.iterations_run < 50 and (estimator.history[-1] <= 1e-3 or model.iterations_run > 1)
     labels = estimator.fit_predict(pq.encode(df))
     assert labels.select("cluster_id").collect() == model.assign(pq.encode(df)).select("cluster_id").collect()
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_closest_is_exact_with_ties(whole):
+    rnd = np.random.default_rng(4)
+    tables = rnd.integers(0, 5, (3, 6, 6)).astype(float) if whole else rnd.random((3, 6, 6)) + 1e3
+    codes, centers = rnd.integers(0, 6, (300, 3)), rnd.integers(0, 6, (1300, 3))
+    apart = sum(tables[s][codes[:, s]][:, centers[:, s]] for s in range(3))
+    label, d = closest(codes, centers, tables)
+    apart = np.stack([[tables[np.arange(3), c, z].sum() for z in centers[:40]] for c in codes]) if not whole else apart
+    if whole:
+        assert (label == apart.argmin(axis=1)).all() and (d == apart.min(axis=1)).all()
+    else:
+        label, d = closest(codes, centers[:40], tables)
+        assert (label == apart.argmin(axis=1)).all() and (d == apart.min(axis=1)).all()
