@@ -40,7 +40,7 @@ LEAST = 0.98
 TREES, SPILL, DIRECTIONS = 4, 0.01, 4
 MOST_SHARE, LEAST_DEPTH = 0.3, 2
 #: Rows of a leaf that the depth aims at, over all labels, and rows above which one label's leaf is dealt in blocks.
-AIM_ROWS, LEAF_ROWS = 1024, 2048
+AIM_ROWS, LEAF_ROWS = 1024, 512
 #: Rows of the first sample, of a leaf's own, and those that a split needs.
 SAMPLE, LEAF_SAMPLE, LEAST_SAMPLE = 20_000, 4096, 16
 #: Cuts of a tree at most, for its size as a broadcast; leaves that may be fitted in one round.

@@ -13,7 +13,7 @@ Documents are sets of distinct word n-grams; two link when PERCENT of their unio
 4. Pairs of a run that are still in different components are tested by length, position and suffix
    (per range of hashes, the sizes of what two sets hold bound what they can share) inside the
    run.  First only the pair of each node that comes closest by suffix is verified, and its links
-   united, again while this joins components; then every pair still between components is, once, by
+   united, again while this joins many components; then every pair still between components is, once, by
    the whole sets.  No pair that could change a component is left out; a run above RUN_ROWS is
    dealt as pairs of blocks.
 Before whole sets are shuffled, a pair must pass the suffix filter again on finer ranges, whose
@@ -53,14 +53,15 @@ SLOT_ROWS = 20_000
 #: An n-gram is looked at as one that very many sets hold if one in so many of a batch does, and is
 #: one if of all sets one in HEAVY_SETS does; so there are at most HEAVY_SETS times a set's mean size.
 HEAVY_BATCH, HEAVY_SETS = 20, 1000
-#: Nodes up to which a list of them is broadcast (16 bytes each); above, it is shuffled.
+#: Nodes up to which a list of them is broadcast (16 bytes each, 80 with suffixes); above, it is shuffled.
 BROADCAST_ROWS = 200_000
 #: Copies of the rows of a small side, so that a long set's rows are dealt over as many tasks.
 SALTS = 16
 #: Rows of an Arrow batch: of texts, sets or prefix n-grams.
 BATCH_ROWS = 500
-#: Rounds of closest pairs at most; what they leave is for the last round, which takes every pair.
-CLOSEST_ROUNDS = 3
+#: Rounds of closest pairs at most; what they leave is for the last round, which takes every pair.  Another
+#: round is worth its cost if the one before joined as many parts as one in WORTH nodes.
+CLOSEST_ROUNDS, WORTH = 3, 10
 #: Members verified against a hub in one group.
 HUB_MEMBERS = 50_000
 
@@ -328,9 +329,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, pe
     return scratch.write(_passing(near, near.count(), sets, "body", percent, _do_link), f"{name}-links")
 
 
-def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
+def _crossing(rows: DataFrame, suffixes: DataFrame, few: bool, percent: int, closest: bool) -> DataFrame:
     """Pairs of a run in different components that pass the length, positional and suffix filters;
-    ``closest``: of each node, only the one whose ranges differ least."""
+    ``closest``: of each node, only the one whose ranges differ least.  ``few`` suffixes are sent to
+    all tasks, so they are not shuffled with the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, seen = None, set()
@@ -391,20 +393,22 @@ def _crossing(rows: DataFrame, percent: int, closest: bool) -> DataFrame:
         if carry is not None and (out := pairs(*carry)) is not None:
             yield out
 
-    found = rows.repartition("gram").sortWithinPartitions("gram", "place", "key").mapInArrow(run, "hub long, key long, apart long")
+    dealt = (rows if few else _joined(rows, suffixes, False)).repartition("gram").sortWithinPartitions("gram", "place", "key")
+    dealt = dealt.join(F.broadcast(suffixes), "key") if few else dealt  # which keeps the order of the rows
+    found = dealt.select("gram", "place", "key", "part", "suffix").mapInArrow(run, "hub long, key long, apart long")
     if closest:
         return found.groupBy("key").agg(F.min(F.struct("apart", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "key")
     return found.select("hub", "key").distinct()
 
 
-def _united(parts: DataFrame, many: int, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
-    """(key, part) after the links, and if any joined two parts: only links between parts, once per pair of parts, are followed."""
+def _united(parts: DataFrame, many: int, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """(key, part) after the links, and how many parts they joined: only links between parts, once per pair of parts, are followed."""
     one, two = (_few(parts.select(F.col("key").alias(k), F.col("part").alias(p)), many) for k, p in (("hub", "a"), ("key", "b")))
     moved = components(links.join(one, "hub").join(two, "key"), "a", "b", scratch, name).withColumnRenamed("node", "part")
     changed = moved.count()
     if not changed:
-        return parts, False
-    return scratch.write(parts.join(_few(moved, changed), "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all"), True
+        return parts, 0
+    return scratch.write(parts.join(_few(moved, changed), "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all"), changed
 
 
 def _mixed(tagged: DataFrame) -> DataFrame:
@@ -463,11 +467,11 @@ def classes(df: DataFrame, scratch: Scratch, size: int = SIZE, percent: int = PE
             break
         mixing = scratch.write(tagged.join(_few(mixed, runs), "gram"), f"{name}-rows")
         rows = mixing.select("gram", "place", "key")
-        suffixes = _joined(_in_blocks(mixing), sets.select("key", "suffix"), many <= BROADCAST_ROWS // 8)
-        pairs = scratch.write(_crossing(suffixes.select("gram", "place", "key", "part", "suffix"), percent, closest), f"{name}-pairs")
+        pairs = scratch.write(_crossing(_in_blocks(mixing), sets.select("key", "suffix"), few, percent, closest), f"{name}-pairs")
         if not pairs.count():
             break
-        parts, joined = _united(parts, many, _verified(pairs, sets, scratch, name, percent), scratch, f"{name}-parts")
+        parts, changed = _united(parts, many, _verified(pairs, sets, scratch, name, percent), scratch, f"{name}-parts")
+        joined = changed * WORTH >= many
         if not closest:
             break
     parts = scratch.write(parts, "parts")
