@@ -13,9 +13,9 @@ a row per node.  Every row is indexed.
 
 Search: a query first visits the nearest page that can fill its k places, which bounds its k-th
 score; then every page that may reach that bound, by the upper levels' radii, where stored parent
-distances spare the distances to most routes.  In a page the nodes wait in a queue by the least distance
-they allow; triangle inequalities on stored parent distances skip nodes and entries before any
-distance is computed.  Queries meet pages in blocks of QUERY_BLOCK.
+distances spare the distances to most routes.  In a page the nodes are visited in order of the least
+distance they allow, until that is beyond the k-th score found; triangle inequalities on stored parent
+distances skip nodes and entries before any distance is computed.  Queries meet pages in blocks of QUERY_BLOCK.
 
 Rows without vec_id, and vectors null or with null or non-finite components take no part, nor do
 vectors of another length than most.  Scores must fit a long: a vector whose integer components'
@@ -37,7 +37,7 @@ from tessera.llm.common import Scratch, table, text_batches
 
 SCALE = 1024
 #: Routing vectors of the first level at most, those of the second, and rows of a page that they aim at.
-PIVOTS, ROUTES, PAGE_ROWS = 256, 32_000, 2000
+PIVOTS, ROUTES, PAGE_ROWS = 256, 32_000, 1000
 #: Entries of a page's node.
 NODE_ROWS = 50
 QUERY_BLOCK = 5000
@@ -106,35 +106,43 @@ def page_nodes(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, route: np
     return out
 
 
-def search(nodes: list[Node], route: np.ndarray, top: int, query: np.ndarray, own_row: int, k: int, least: int | None) -> list[tuple[int, int]]:
-    """The k best (score, vec_id) of a page but the query's own row, of score ``least`` and more."""
-    size = int(query @ query)
-    best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst of the best on top
-    reach = np.inf if least is None else _reach(size, top, least)
-    from_route = float(_distances(query, 0.0, route, float(_last(route, top))))
-    queue = [(max(0.0, abs(from_route - node[2]) - node[3]), n, False) for n, node in enumerate(nodes)]
-    heapq.heapify(queue)
-    while queue:
-        low, n, measured = heapq.heappop(queue)
-        if low > reach:
-            break
-        vector, last, _, radius, members, parent, ids, rows = nodes[n]
-        to_node = float(_distances(query, 0.0, vector, last))
-        if not measured:
-            heapq.heappush(queue, (max(low, to_node - radius, 0.0), n, True))
-            continue
-        a, b = np.searchsorted(parent, to_node - reach - SLACK), np.searchsorted(parent, to_node + reach + SLACK, side="right")
-        scores = members[a:b] @ query
-        for score, i, row in zip(scores.tolist(), ids[a:b].tolist(), rows[a:b].tolist()):
-            if row == own_row or least is not None and score < least:
-                continue
-            if len(best) < k:
-                heapq.heappush(best, (score, -i))
-            elif (score, -i) > best[0]:
-                heapq.heapreplace(best, (score, -i))
-        if len(best) == k:
-            reach = min(reach, _reach(size, top, best[0][0]))
-    return [(score, -i) for score, i in best]
+class Page:
+    """The nodes of a page below the vector ``route``, their vectors side by side."""
+
+    def __init__(self, nodes: list[Node], route: np.ndarray, top: int):
+        self.nodes, self.route, self.top = nodes, route, top
+        self.vectors, self.last = np.stack([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        self.parent, self.radius = np.array([n[2] for n in nodes]), np.array([n[3] for n in nodes])
+        self.route_last = float(_last(route, top))
+
+    def search(self, query: np.ndarray, own_row: int, k: int, least: int | None) -> list[tuple[int, int]]:
+        """The k best (score, vec_id) of the page but the query's own row, of score ``least`` and more."""
+        size = int(query @ query)
+        best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst of the best on top
+        reach = np.inf if least is None else _reach(size, self.top, least)
+        gap = np.abs(float(_distances(query, 0.0, self.route, self.route_last)) - self.parent) - self.radius
+        near = np.flatnonzero(gap <= reach)  # the others go without a distance
+        to_node = _distances(self.vectors[near], self.last[near], query, 0.0)
+        low = np.maximum(np.maximum(gap[near], to_node - self.radius[near]), 0.0)
+        for n in np.argsort(low, kind="stable").tolist():
+            if low[n] > reach:
+                break
+            members, parent, ids, rows = self.nodes[near[n]][4:]
+            a, b = np.searchsorted(parent, to_node[n] - reach - SLACK), np.searchsorted(parent, to_node[n] + reach + SLACK, side="right")
+            scores = members[a:b] @ query
+            wanted = least if len(best) < k else best[0][0]
+            some = np.flatnonzero(scores >= wanted) if wanted is not None else range(b - a)
+            for m in some:
+                score, i = int(scores[m]), int(ids[a + m])
+                if rows[a + m] == own_row:
+                    continue
+                if len(best) < k:
+                    heapq.heappush(best, (score, -i))
+                elif (score, -i) > best[0]:
+                    heapq.heapreplace(best, (score, -i))
+            if len(best) == k:
+                reach = min(reach, _reach(size, self.top, best[0][0]))
+        return [(score, -i) for score, i in best]
 
 
 class Routes:
@@ -152,7 +160,7 @@ class Routes:
         """Takes (rows, least and greatest distance) of each second vector."""
         for n, (held, low, high) in found.items():
             self.held[n], self.inner[n], self.radius[n] = held, low, high
-        self.pages = np.where(self.held > 2 * PAGE_ROWS, -(-self.held // PAGE_ROWS), (self.held > 0).astype(np.int64))
+        self.pages = np.where(self.held > PAGE_ROWS + PAGE_ROWS // 4, -(-self.held // PAGE_ROWS), (self.held > 0).astype(np.int64))
         self.before = np.cumsum(self.pages) - self.pages
         some = self.held > 0
         reach = np.where(some, self.to_parent + self.radius, 0.0)
@@ -203,17 +211,19 @@ def _visit(nodes: DataFrame, visits: DataFrame, top: int, k: int) -> DataFrame:
     whole = lambda x: np.frombuffer(x, dtype="<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, page = None, []
+        at, nodes, page = None, [], None
+        names = ["page", "block", "kind", *NODE_NAMES[1:], "row", "vec_id", "least", "vec"]
         for batch in batches:
             found = []
-            for r in batch.to_pylist():
-                if (r["page"], r["block"]) != at:
-                    at, page = (r["page"], r["block"]), []
-                if r["kind"] == 0:
-                    v, route = whole(r["vector"]), whole(r["route"])
-                    page.append((v, r["last"], r["parent"], r["radius"], whole(r["entries"]).reshape(-1, len(v)), np.frombuffer(r["apart"], dtype="<f8"), whole(r["ids"]), whole(r["rows"])))
-                elif page:
-                    found += [(r["row"], r["vec_id"], i, score) for score, i in search(page, route, top, whole(r["vec"]), r["row"], k, r["least"])]
+            for p, block, kind, route, vector, last, parent, radius, entries, apart, ids, rows, row, vec_id, least, vec in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (p, block) != at:
+                    at, nodes, page = (p, block), [], None
+                if kind == 0:
+                    v, center = whole(vector), whole(route)
+                    nodes.append((v, last, parent, radius, whole(entries).reshape(-1, len(v)), np.frombuffer(apart, dtype="<f8"), whole(ids), whole(rows)))
+                elif nodes:
+                    page = page or Page(nodes, center, top)
+                    found += [(row, vec_id, i, score) for score, i in page.search(whole(vec), row, k, least)]
             columns = list(zip(*found)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
