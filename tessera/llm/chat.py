@@ -422,6 +422,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the added one, -1; turns that the table has under -1 come before or between its own."""
     text_batches(spark, 1000)
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

@@ -7,7 +7,7 @@ read in parallel.  ``part`` and ``pos`` give a document's place: ids before it i
 own start is the sum of the files before it (one row per file).
 
 Null and empty texts hold the end id alone.  Null ids come first; rows with one id follow in the
-order of their texts, and repeated rows are all kept.  An empty table gives no rows.  Extra columns are not read.
+order of their texts' hashes, by which they are dealt too, and repeated rows are all kept.  An empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pos + stops - counts), pa.array(counts), ids], names=["doc_id", "pos", "n_tokens", "ids"])
             pos += int(stops[-1]) if len(stops) else 0
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    # the hash parts rows that share an id, null ids too, so that they are not one range
+    ranged = docs.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     (
         ranged.mapInArrow(run, "doc_id long, pos long, n_tokens long, ids array<int>")
         .withColumn("part", F.spark_partition_id())
@@ -61,10 +62,13 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
 
 
 def with_start(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``start``: the ids of all files before, which is one sum per file, and ``pos``."""
+    """Adds ``start``: the ids of all files before, which is one sum per file, and ``pos``.
+
+    There are as many sums as files; they are broadcast only where Spark finds them small.
+    """
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = sums.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select(*columns, (F.col("before") + F.col("pos")).alias("start"))
+    return rows.join(before, "part").select(*columns, (F.col("before") + F.col("pos")).alias("start"))
 
 
 def digests(rows: DataFrame) -> DataFrame:

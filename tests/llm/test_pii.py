@@ -42,10 +42,10 @@ def test_known():
 
 
 def test_long_runs_take_linear_time():
-    start = time.time()
+    start = time.process_time()  # quadratic time would be hours
     for run in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "@" * 200_000, "a1_" * 70_000, "+1(" * 70_000, "-" * 200_000):
         pii.spans(run, frozenset({1}))
-    assert time.time() - start < 20
+    assert time.process_time() - start < 60
 
 
 def test_em_finds_the_reliable_labelers():

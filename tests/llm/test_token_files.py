@@ -18,13 +18,14 @@ def library(text):
 
 
 def test_files_hold_what_the_library_encodes(spark, docs_rows):
-    rows = [*docs_rows, (None, "no id", "en", "a", 1), (4, "again the same id", None, None, None)]
+    rows = [*docs_rows, (None, "no id", "en", "a", 1), (None, "none here either", "en", "a", 1), (4, "again the same id", None, None, None)]
     scratch = Scratch(spark)
     token_files.write(spark.createDataFrame(rows, DOC_SCHEMA).repartition(3), scratch.path("t"), PATH)
     stored = token_files.read(spark, scratch.path("t"))
     out = token_files.with_start(token_files.digests(stored), ["doc_id", "n_tokens", "ids_crc32"]).orderBy("start").collect()
     start = 0
-    for r, (doc_id, text, *_) in zip(out, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))):
+    hashed = {r.text: r.h for r in spark.createDataFrame(rows, DOC_SCHEMA).selectExpr("text", "xxhash64(text) AS h").collect()}
+    for r, (doc_id, text, *_) in zip(out, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]]))):
         ids = [*library(text), 0]
         assert (r.doc_id, r.start, r.n_tokens) == (doc_id, start, len(ids))
         assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
