@@ -101,7 +101,17 @@ FOREST = ask([CHAIN, MOLECULES, "u AS (SELECT min(id) AS id, any_value(fp) AS fp
               "reach(r, src, dst, node) AS (SELECT r, src, dst, src FROM e UNION SELECT x.r, x.src, x.dst, CASE WHEN f.src = x.node THEN f.dst ELSE f.src END FROM reach x JOIN e f ON f.r < x.r AND (f.src = x.node OR f.dst = x.node))"],
              "SELECT src, dst, round(sqrt(d), 6) AS dist FROM e WHERE r NOT IN (SELECT r FROM reach WHERE node = dst)").replace("WITH ", "WITH RECURSIVE ", 1)
 
+#: Distinct environments of up to two bonds of a chain's atoms, spelt out instead of hashed; of those of one step that
+#: cover the same bonds one counts, and none whose bonds an earlier step covered.
+MORGAN = ask([CHAIN, f"""a AS (SELECT smiles, h, i, CASE WHEN i > c THEN g::VARCHAR ELSE 'C' END || (CASE WHEN i > 1 THEN 1 ELSE 0 END + CASE WHEN i < h THEN 1 ELSE 0 END) AS e0
+                  FROM (SELECT DISTINCT {SMILES} AS smiles, c, h, g FROM part JOIN chain USING (p_partkey)), range(1, 14) r(i) WHERE i <= h)""",
+              *[f"""{'abc'[n]} AS (SELECT x.*, x.e{n - 1} || '(' || coalesce((SELECT string_agg(y.e{n - 1}, ',' ORDER BY y.e{n - 1}) FROM {'_ab'[n]} y WHERE y.smiles = x.smiles AND abs(y.i - x.i) = 1), '') || ')' AS e{n},
+                  greatest(1, i - {n}) AS low{n}, least(h, i + {n}) AS high{n} FROM {'_ab'[n]} x)""" for n in (1, 2)]],
+             """SELECT smiles, count(DISTINCT e0) + (SELECT count(DISTINCT e) FROM (SELECT min(e1) AS e FROM c y WHERE y.smiles = x.smiles GROUP BY low1, high1))
+             + (SELECT count(DISTINCT e) FROM (SELECT min(e2) AS e FROM c y WHERE y.smiles = x.smiles AND NOT EXISTS (SELECT 1 FROM c z WHERE z.smiles = y.smiles AND z.low1 = y.low2 AND z.high1 = y.high2) GROUP BY low2, high2)) AS n_bits FROM c x GROUP BY smiles""")
+
 ORACLES = {
+    "morgan": MORGAN,
     "stream_assign": molecule_clusters("id"),
     "cluster_pipeline": molecule_clusters("md5('0|' || smiles), smiles"),
     "k_sweep": ask([*BASIS, TABLES, *two_steps("p", "id", 4), labels("asg4", "p2"), *two_steps("q", "id", 8), labels("asg8", "q2")], f"{sweep(4)} UNION ALL {sweep(8)}"),
