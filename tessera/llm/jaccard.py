@@ -338,6 +338,14 @@ def _crossing(rows: DataFrame, suffixes: DataFrame, few: bool, percent: int, clo
         carry, seen = None, set()
 
         def pairs(gram, place, key, part, suffix) -> pa.RecordBatch | None:
+            if not len(gram):
+                return None
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
+            if not mixed.any():
+                return None
+            some = np.repeat(mixed, np.diff(first, append=len(gram)))  # rows of runs that hold several parts
+            gram, place, key, part, suffix = (x[some] for x in (gram, place, key, part, suffix))
             n, pos = place >> 32, place & 0xFFFFFFFF
             indexed = n - -(-2 * percent * n // (100 + percent)) + 1  # the prefix of a set among larger ones
             at, step, a, b = np.arange(len(gram)), 0, [], []
@@ -411,11 +419,10 @@ def _united(parts: DataFrame, many: int, links: DataFrame, scratch: Scratch, nam
     return scratch.write(parts.join(_few(moved, changed), "part", "left").select("key", F.coalesce("component", "part").alias("part")), f"{name}-all"), changed
 
 
-def _mixed(tagged: DataFrame) -> DataFrame:
-    """(gram, blocks) of runs that hold several parts; blocks is null up to RUN_ROWS rows."""
-    runs = tagged.groupBy("gram").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("c")).where("a <> b")
-    blocks = F.ceil(F.col("c") * 2 / F.greatest(F.lit(RUN_ROWS), F.sqrt("c") * RUN_ROOTS))
-    return runs.select("gram", F.when(F.col("c") > RUN_ROWS, blocks).cast("int").alias("blocks"))
+def _hot(live: DataFrame) -> DataFrame:
+    """(gram, blocks) of the runs above RUN_ROWS."""
+    blocks = F.ceil(F.col("c") * 2 / F.greatest(F.lit(RUN_ROWS), F.sqrt("c") * RUN_ROOTS)).cast("int")
+    return live.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > RUN_ROWS).select("gram", blocks.alias("blocks"))
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -457,17 +464,13 @@ def classes(df: DataFrame, scratch: Scratch, size: int = SIZE, percent: int = PE
     sets = scratch.write(_sets(texts, clashes, size), "sets")
     parts, _ = _united(parts, many, _verified(star, sets, scratch, "star", percent), scratch, "star-parts")
     rows, joined = live.select("gram", "place", "key"), True
+    hot = scratch.write(_hot(live), "hot")
+    runs = hot.count()
     for turn in range(CLOSEST_ROUNDS + 1):
         closest = joined and turn < CLOSEST_ROUNDS
         name = f"closest-{turn}" if closest else "every"
-        tagged = _joined(rows, parts, few)
-        mixed = scratch.write(_mixed(tagged), f"{name}-mixed")
-        runs = mixed.count()
-        if not runs:
-            break
-        mixing = scratch.write(tagged.join(_few(mixed, runs), "gram"), f"{name}-rows")
-        rows = mixing.select("gram", "place", "key")
-        pairs = scratch.write(_crossing(_in_blocks(mixing), sets.select("key", "suffix"), few, percent, closest), f"{name}-pairs")
+        dealt = _in_blocks(_joined(rows, parts, few).join(_few(hot, runs), "gram", "left"))
+        pairs = scratch.write(_crossing(dealt, sets.select("key", "suffix"), few, percent, closest), f"{name}-pairs")
         if not pairs.count():
             break
         parts, changed = _united(parts, many, _verified(pairs, sets, scratch, name, percent), scratch, f"{name}-parts")
