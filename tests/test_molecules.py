@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.functions.fingerprints import featurize, format_time, mol_props, morgan, mqn
+from tessera.functions.fingerprints import _FEATURIZERS, featurize, format_time, mol_props, morgan, mqn, register_featurizer
 from tessera.functions.smiles import SmilesError, from_molblock, parse, to_molblock, to_smiles
 from tessera.operators.graph import knn_graph, spanning_tree, tree_map
 from tessera.plans.pipeline import Config, Pipeline
@@ -57,6 +57,23 @@ def test_featurize(spark):
     assert featurize(df.limit(0)).count() == 0 and format_time(3725.5) == "1 h; 2min; 5.50 s"
 
 
+def test_features_of_distinct_molecules(spark):
+    """Each distinct molecule is computed once, not every row of what they were drawn from."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(mol, fp_size, radius):
+        calls.add(1)
+        return morgan(mol, fp_size, radius)
+
+    df = spark.createDataFrame([(k, "C" * (1 + k % 5)) for k in range(200)], "id long, smiles string").repartition(4)
+    register_featurizer("counted", counted)
+    try:
+        rows = featurize(df.select("smiles").distinct(), "counted", fp_size=64, radius=2).collect()
+    finally:
+        _FEATURIZERS.pop("counted")
+    assert sorted(r.smiles for r in rows) == ["C" * k for k in range(1, 6)] and calls.value == 5
+
+
 def test_scans(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = ["CCO\tethanol 1", "  c1ccccc1\u2003benzene", "O", "\t \t", "", "N#N nitrogen\u00a0gas   ", "CC(=O)O,acid", "[Na+].[Cl-]   salt,of;sodium\r"]
