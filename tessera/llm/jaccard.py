@@ -17,7 +17,9 @@ Documents are sets of distinct word n-grams; two link when PERCENT of their unio
    the whole sets.  No pair that could change a component is left out; a run above RUN_ROWS is
    dealt as pairs of blocks.
 Before whole sets are shuffled, a pair must pass the suffix filter again on finer ranges, whose
-number grows with the set (an outline has a thirty-second of the set's bytes).
+number grows with the set (an outline has a thirty-second of the set's bytes).  Rows with whole texts or
+sets are not shuffled to be looked up in a list: a short list is broadcast, of a long one a sieve of
+2**SIEVE_BITS bits is, and only rows that pass it are shuffled.
 Components of links, not links, are the result, so pairs inside a component need no test.
 
 A null or wordless text has no set and links with nothing; fewer words than n make one n-gram.
@@ -31,8 +33,9 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, fresh, table, text_batches
@@ -55,6 +58,8 @@ SLOT_ROWS = 20_000
 HEAVY_BATCH, HEAVY_SETS = 20, 1000
 #: Nodes up to which a list of them is broadcast (16 bytes each, 80 with suffixes); above, it is shuffled.
 BROADCAST_ROWS = 200_000
+#: Bits of a sieve (4 MB), and its bytes that are sent as one row.
+SIEVE_BITS, SIEVE_CHUNK = 25, 1 << 14
 #: Copies of the rows of a small side, so that a long set's rows are dealt over as many tasks.
 SALTS = 16
 #: Rows of an Arrow batch: of texts, sets or prefix n-grams.
@@ -288,6 +293,57 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _place(*columns: str) -> Column:
+    """The bit of a sieve that stands for these values."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - SIEVE_BITS)
+
+
+def _sieve(rows: DataFrame, *columns: str) -> np.ndarray:
+    """The bits of all rows' values; 2**SIEVE_BITS of them, whatever the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SIEVE_BITS - 3, dtype=np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = bits.reshape(-1, SIEVE_CHUNK)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int32()), pa.array([parts[k].tobytes() for k in some], type=pa.binary())], names=["chunk", "bits"])
+
+    out = np.zeros((1 << SIEVE_BITS - 3) // SIEVE_CHUNK * SIEVE_CHUNK, dtype=np.uint8)
+    place = rows.select(_place(*columns).alias("place"))
+    for r in place.repartition(F.floor(F.col("place") / (8 * SIEVE_CHUNK))).mapInArrow(run, "chunk int, bits binary").collect():
+        out[r.chunk * SIEVE_CHUNK:(r.chunk + 1) * SIEVE_CHUNK] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def _may_hold(rows: DataFrame, *columns: str) -> Column:
+    """Whether ``rows`` may have the values that a row has in columns so called; where false, they have not."""
+    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(rows, *columns))
+
+    @F.pandas_udf("boolean")
+    def passes(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((sieve.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return passes(_place(*columns))
+
+
+def _among(df: DataFrame, rows: DataFrame, many: int, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose values ``rows``, which are ``many``, have too."""
+    if many > BROADCAST_ROWS:
+        df = df.where(_may_hold(rows, *columns))
+    return df.join(_few(rows, many), [*columns], "left_semi")
+
+
+def _not_among(df: DataFrame, rows: DataFrame, many: int, *columns: str) -> DataFrame:
+    """The other rows of ``df``, without ``columns``."""
+    if many <= BROADCAST_ROWS:
+        return df.join(F.broadcast(rows), [*columns], "left_anti").drop(*columns)
+    may = _may_hold(rows, *columns)
+    return df.where(~may).drop(*columns).union(df.where(may).join(rows, [*columns], "left_anti").drop(*columns))
+
+
 def _joined(rows: DataFrame, by_key: DataFrame, few: bool) -> DataFrame:
     """Rows with what ``by_key`` has of their node, once each.  A long set has many rows: where the
     join is shuffled, they are dealt over SALTS tasks."""
@@ -304,6 +360,8 @@ def _passing(pairs: DataFrame, many: int, sets: DataFrame, body: str, percent: i
     spread = pairs.select("hub", "key", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
     hubs = spread.select(F.col("hub").alias("key"), "salt").distinct()
     held = sets.select("key", "n", F.col(body).alias("body"))
+    if many > BROADCAST_ROWS:
+        held = held.where(_may_hold(pairs.select("key").union(pairs.select("hub")), "key"))
     members = held.join(_few(spread, many), "key").select("hub", "salt", F.lit(1).alias("member"), "key", "n", "body")
     rows = members.union(held.join(_few(hubs, many), "key").select(F.col("key").alias("hub"), "salt", F.lit(0).alias("member"), "key", "n", "body"))
 
@@ -460,7 +518,7 @@ def classes(df: DataFrame, scratch: Scratch, size: int = SIZE, percent: int = PE
     many = parts.count()
     few = many <= BROADCAST_ROWS
     chosen = info.join(_few(parts.select("key"), many), "key", "left_semi").groupBy("key").agg(F.min(F.struct(_rid().alias("rid"), "hash")).alias("c")).select("c.rid", "c.hash")
-    texts = docs.withColumn("rid", _rid()).join(_few(chosen, many), ["rid", "hash"], "left_semi")
+    texts = _among(docs.withColumn("rid", _rid()), scratch.write(chosen, "chosen"), many, "rid", "hash")
     sets = scratch.write(_sets(texts, clashes, size), "sets")
     parts, _ = _united(parts, many, _verified(star, sets, scratch, "star", percent), scratch, "star-parts")
     rows, joined = live.select("gram", "place", "key"), True
@@ -513,10 +571,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = S
     kept = kept.select(F.coalesce("best.first.doc_id", "best.first.hash").alias(rid), F.col("best.first.hash").alias(text), F.col("best.rows").alias(own))
     wordless = info.where("key is null").select(_rid().alias(rid), F.col("hash").alias(text), F.lit(1).cast("long").alias(own)).distinct()
     kept = scratch.write(kept.union(wordless), "kept")
-    many, repeats = kept.agg(F.count("*"), F.count_if(F.col(own) > 1)).first()
+    others = named.select(_rid().alias(rid), F.col("hash").alias(text)).distinct().join(kept.where(F.col(own) == 1), [rid, text], "left_anti")
+    others = scratch.write(others, "others")
     hashed = docs.withColumns({text: F.xxhash64("text"), rid: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))})
-    out = hashed.join(_few(kept.where(F.col(own) == 1), many), [rid, text], "left_semi").drop(rid, text)
-    if repeats:
-        same = hashed.join(_few(kept.where(F.col(own) > 1), repeats), [rid, text], "left_semi")
+    out = _not_among(hashed, others, others.count(), rid, text)
+    if repeats := kept.where(F.col(own) > 1).count():
+        same = _among(hashed, kept.where(F.col(own) > 1), repeats, rid, text)
         out = out.unionByName(same.dropDuplicates([rid, text]).drop(rid, text))
     return out

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -104,6 +105,30 @@ def test_heavy_grams_in_slots(spark, monkeypatch):
     assert got(jaccard.cluster(df, Scratch(spark))) == brute(rows)
 
 
+def test_whole_texts_stay_where_they_are(spark, monkeypatch):
+    """With lists too long to broadcast, only texts that a list may name are shuffled to be looked up."""
+    rnd = random.Random(5)
+    rows = [(k, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(2000)), "en", "a", 1) for k in range(120)]
+    rows += [(k, rows[k % 3][1] + " more" * (k % 2), "en", "a", 1) for k in range(200, 206)] + [(300, "twice the same row", "en", "a", 1)] * 2 + [(301, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, DOC_SCHEMA).repartition(4).localCheckpoint()
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        time.sleep(1)
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.deduplicate(spark, df, "")
+        before = shuffled()
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(120), 300, 301, 301]
+        assert shuffled() - before < 0.2 * sum(len(r[1] or "") for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_edges(spark, docs_rows):
     long = " ".join(f"t{k % 997}x{k}" for k in range(20_000))
     rows = [*docs_rows, (8, " \t\n", None, None, None), (None, "plain words here\nnext line of WORDS", None, None, None), (None, None, None, None, None), (None, "only without an id", None, None, None),
