@@ -11,8 +11,10 @@ as others would only lower the score.  Texts and
 templates are normalised alike: lower case, and everything but a-z and 0-9 separates words.  A
 segment with A distinct bigrams and a template with B, of which they share S, reach LEAST = p / q if
 2 q S >= p (A + B).  As S is at most A and at most B, that needs p B / (2 q - p) <= A <= (2 q - p) B / p
-and as many shared bigrams as the lower bound.  All of this is done in integers, so a segment just on a bound is kept.  So a text must hold one of the words that all but fewer of each template's bigrams contain
-(``anchors``), and a segment a template's bigram with such a word; others are dropped.  So are segments
+and as many shared bigrams as the lower bound.  All of this is done in integers, so a segment just on a bound is kept.  So a text must hold one of any set that leaves
+out fewer of a template's bigrams (``anchors``): lower-cased texts without one are dropped before they are
+normalised (``sieved``), then those of many lines that as a whole share too few with every template, as their segments share
+no more, and segments without an anchor.  So are segments
 outside the size bounds of all templates, before anything is joined, and bigrams only meet
 templates whose bounds hold.  All of it is DataFrame functions.  Templates are a parameter; what they
 hold, at most MOST_BIGRAMS bigrams, is a constant table, so broadcasting it is bounded.
@@ -26,6 +28,8 @@ Equal scores go to the smaller licence id.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,9 +91,9 @@ def _bounds(bigrams: int, least: float) -> tuple[int, int]:
     return -(-p * bigrams // (2 * q - p)), (2 * q - p) * bigrams // p
 
 
-def _normal(text: Column) -> Column:
-    """Words parted by spaces; line feeds stay, for lines and paragraphs."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9\\n]+", " ")
+def _normal(lower: Column) -> Column:
+    """Words of a lower-cased text parted by spaces; line feeds stay, for lines and paragraphs."""
+    return F.regexp_replace(lower, "[^a-z0-9\\n]+", " ")
 
 
 def _bigrams(segment: Column) -> Column:
@@ -103,22 +107,19 @@ def _bigrams(segment: Column) -> Column:
 def template_table(spark: SparkSession, templates: list[tuple[str, str]], least: float) -> list[tuple[int, str, list[str]]]:
     """(number, licence, bigrams) of each template, which must have a bigram and all together few."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, license string, text string")
-    out = [tuple(r) for r in rows.select("template", "license", _bigrams(_normal(F.col("text"))).alias("bigrams")).orderBy("template").collect()]
+    out = [tuple(r) for r in rows.select("template", "license", _bigrams(_normal(F.lower("text"))).alias("bigrams")).orderBy("template").collect()]
     if not out or not all(b for *_, b in out) or sum(len(b) for *_, b in out) > MOST_BIGRAMS:
         raise ValueError(f"templates need words, and at most {MOST_BIGRAMS} bigrams in all")
     return out
 
 
 def anchors(held: list[tuple[int, str, list[str]]], least: float) -> list[str]:
-    """Words, long ones first, such that nothing reaches ``least`` with a template and has none of them:
-    fewer of the template's bigrams are without them than must be shared."""
+    """Bigrams, those with long words first, such that nothing reaches ``least`` with a template and has none of them:
+    fewer of the template's bigrams are left out than must be shared."""
     chosen: set[str] = set()
     for *_, bigrams in held:
-        spare = _bounds(len(bigrams), least)[0] - 1
-        for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
-            if sum(not chosen.intersection(b.split()) for b in bigrams) <= spare:
-                break
-            chosen.add(word)
+        need = len(bigrams) - _bounds(len(bigrams), least)[0] + 1
+        chosen.update(sorted(bigrams, key=lambda b: (b not in chosen, -max(map(len, b.split())), -len(b), b))[:need])
     return sorted(chosen)
 
 
@@ -127,6 +128,22 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def sieved(lower: DataFrame, named: list[str]) -> DataFrame:
+    """The rows whose ``lower``, a lower-cased text, has one of these bigrams, whatever parts its words.
+
+    The longer word is searched first, as plain bytes, and only where it is found the bigrams that it is in,
+    by patterns that begin with a word, as those skip most of a text."""
+    gates: dict[str, dict[str, list[str]]] = {}
+    for bigram in named:
+        first, *second = bigram.split()
+        gates.setdefault(max([first, *second], key=len), {}).setdefault(first, []).append("".join(f"[^a-z0-9]+{w}" for w in second))
+    found = []
+    for gate, firsts in sorted(gates.items(), key=lambda x: (-len(x[0]), x[0])):
+        ways = [F.contains("lower", F.lit(w)) & F.col("lower").rlike(f"{w}(?<![a-z0-9]{w})(?:{'|'.join(after)})(?![a-z0-9])") for w, after in firsts.items()]
+        found.append(F.contains("lower", F.lit(gate)) & reduce(or_, ways))
+    return lower.where(reduce(or_, found))
+
+
 def _segment_hash(bigrams: Column) -> Column:
     return F.xxhash64(F.concat_ws("\n", bigrams))
 
@@ -139,6 +156,8 @@ def _segments(normal: DataFrame, held: list[tuple[int, str, list[str]]], least:
     # the most words of a run, by the templates whose bigrams the text holds enough of
     most = F.greatest(F.lit(0), *[F.when(F.size(F.array_intersect("known", F.lit(b))) >= _bounds(len(b), least)[0], RUN_WORDS * _bounds(len(b), least)[1] + 1) for *_, b in held])
     texts = normal.select("key", "normal", _once(known).alias("known")).select("key", "normal", _once(most).alias("most"))
+    if all(" " in b for b in every):  # a line of one word has that word as its bigram, which the whole text has not
+        texts = texts.where((F.col("most") > 0) | (F.instr("normal", "\n") == 0))
 
     def lines_of(paragraph: Column) -> Column:
         kept = F.filter(F.transform(F.split(paragraph["text"], "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -179,12 +198,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     (p, q), sizes = _ratio(least), [_bounds(len(b), least) for *_, b in held]
     few, many = min(a for a, _ in sizes), max(b for _, b in sizes)
     named = anchors(held, least)
-    known = sorted({b for *_, bigrams in held for b in bigrams if set(named).intersection(b.split())})
-    normal = docs.where(F.col("text").isNotNull()).select("key", _once(_normal(F.col("text"))).alias("normal"))
-    normal = normal.where(F.exists(F.split(F.translate("normal", "\n", " "), " "), lambda w: w.isin(named)))
+    lower = sieved(docs.where(F.col("text").isNotNull()).select("key", _once(F.lower("text")).alias("lower")), named)
+    normal = lower.select("key", _once(_normal(F.col("lower"))).alias("normal"))
     segments = _segments(normal, held, least)
     bigrams = segments.select("key", "touched", _once(_bigrams(F.col("segment"))).alias("bigrams")).where(F.size("bigrams").between(few, many))
-    bigrams = bigrams.where(F.exists("bigrams", lambda b: b.isin(known))).withColumn("segment", F.concat_ws("\n", "bigrams"))
+    bigrams = bigrams.where(F.exists("bigrams", lambda b: b.isin(named))).withColumn("segment", F.concat_ws("\n", "bigrams"))
     single = bigrams.groupBy("key", "segment", "touched").agg(F.first("bigrams").alias("bigrams"))
     table_ = spark.createDataFrame([(k, name, b, len(bs)) for k, name, bs in held for b in bs], "template int, license string, bigram string, held int")
     words = single.select("key", "segment", "touched", F.size("bigrams").alias("size"), F.explode("bigrams").alias("bigram"))
