@@ -3,7 +3,8 @@
 A single space or line feed between two characters that are not white space always starts a new
 match of the byte-level pattern: no alternative crosses it, ``\\s+(?!\\S)`` cannot match one lone
 white space before a character, and a leading space belongs to what follows.  So a text whose
-white space is only such lone characters is cut there, and what a chunk encodes to is looked up.
+white space is only such lone characters is cut there, and what a chunk encodes to is looked up,
+once for each distinct chunk of a batch; Arrow finds those and puts their ids in place.
 Any other text is encoded whole.
 """
 
@@ -11,15 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Chunks kept by a worker; beyond it the memo starts anew, so its memory is bounded.
 MEMO_CHUNKS = 800_000
 
 
-def split(text: str) -> list[str] | None:
-    """Chunks without their leading space (those after a line feed keep it); None: encode it whole."""
+def split(text: str) -> tuple[str, str | None] | None:
+    """The first chunk and, parted by spaces, the others without their leading space (those after a line feed keep it);
+    None: encode it whole."""
     if not text or " ".join(text.split()) != text.replace("\n", " "):
         return None
-    return text.replace("\n", " \n").split(" ")
+    first, space, others = text.replace("\n", " \n").partition(" ")
+    return first, others if space else None
 
 
 class ChunkMemo:
@@ -32,29 +38,19 @@ class ChunkMemo:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > self.limit:
             self.memo.clear()
-        get, new, firsts, found = self.memo.get, [], [], []
-        for t in texts:
-            parts = split(t) if t else None
-            coded = None
-            if parts:
-                firsts.append(parts[0])
-                coded = list(map(get, parts))
-                coded[0] = b""
-                if None in coded:
-                    new += [p for p, c in zip(parts, coded) if c is None]
-            elif t:
-                firsts.append(t)  # encoded whole
-            found.append((parts, coded))
-        new = list(set(new))
-        coded_new = self.encode_all([p if p[0] == "\n" else " " + p for p in new] + firsts)
+        parts = [split(t) if t else None for t in texts]
+        lists = pc.split_pattern(pa.array([p[1] if p else None for p in parts], type=pa.large_string()), " ")
+        flat = lists.flatten().dictionary_encode()
+        one = pa.ListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary)
+        chunks = pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(flat) else []
+        coded = list(map(self.memo.get, chunks))
+        new = [c for c, x in zip(chunks, coded) if x is None]
+        firsts = [p[0] if p else t for t, p in zip(texts, parts) if t]  # of a text that is encoded whole, all of it
+        coded_new = self.encode_all([c if c[0] == "\n" else " " + c for c in new] + firsts)
         self.memo.update(zip(new, coded_new))
-        rest, out = iter(coded_new[len(new):]), []
-        for t, (parts, coded) in zip(texts, found):
-            if not t:
-                out.append(b"")
-                continue
-            first = next(rest)
-            if parts:
-                first += b"".join([get(p) if c is None else c for p, c in zip(parts, coded)] if None in coded else coded)
-            out.append(first)
-        return out
+        fresh, rest = iter(coded_new), iter(coded_new[len(new):])
+        placed = pa.array([next(fresh) if x is None else x for x in coded], type=pa.large_binary()).take(flat.indices)
+        _, stops, data = placed.buffers()
+        stops, data = memoryview(stops or bytes(8)).cast("B").cast("q"), memoryview(data or b"")
+        ends = [stops[k] for k in lists.offsets.to_pylist()]
+        return [next(rest) + data[a:b] if t else b"" for t, a, b in zip(texts, ends, ends[1:])]

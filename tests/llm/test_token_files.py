@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,9 @@ import public_tokenizers as P
 from tokenizers import Tokenizer
 
 from tessera.llm import token_files
+from tessera.llm.chunks import ChunkMemo
 from tessera.llm.common import Scratch
+from tessera.llm.tokens import LibraryEncoder
 from tests.llm.conftest import DOC_SCHEMA
 
 PATH = P.path("byte_bpe_50k.json")
@@ -42,3 +45,34 @@ def test_empty_table(spark):
     token_files.write(spark.createDataFrame([], DOC_SCHEMA), scratch.path("t"), PATH)
     assert token_files.with_start(token_files.digests(token_files.read(spark, scratch.path("t"))), ["doc_id"]).count() == 0
     scratch.drop()
+
+
+def test_distinct_chunks_of_a_batch_are_looked_up_once():
+    """However often they occur; before, every word of a text was."""
+
+    class Counting(dict):
+        looked = 0
+
+        def get(self, *args):
+            Counting.looked += 1
+            return super().get(*args)
+
+    memo = ChunkMemo(lambda texts: [t.encode("utf-32-le") for t in texts])
+    memo.memo = Counting()
+    text = "first " + "word another\nline " * 1000 + "last"
+    for _ in range(2):
+        Counting.looked = 0
+        assert memo([text, None, text]) == [text.encode("utf-32-le"), b"", text.encode("utf-32-le")]
+        assert Counting.looked <= 8
+
+
+def test_chunks_of_any_batch_as_the_library():
+    rnd, coder = random.Random(7), LibraryEncoder(PATH)
+    parts = ["word", "Über.", "don't", "3.14", "\u6f22\u5b57,", "a", "<|endoftext|>", "x.", "...", "\x85", "\xa0y", "\x1cz"]
+    texts = [None, "", " ", "\n", "one", " lead", "trail ", "trail\n", "a  b", "a \nb", "a\n\nb"]
+    texts += ["".join(rnd.choice(parts) + rnd.choice([" ", " ", " ", "\n", "\t", "  "][:rnd.choice([3, 4, 4, 6])]) for _ in range(rnd.randrange(1, 30))) + "end" for _ in range(49)]
+    want = {t: np.array(library(t), dtype="<u4").tobytes() for t in set(texts)}
+    for limit in (0, 5, 10**6):
+        memo = ChunkMemo(coder.encode_all, limit)
+        for batch in ([], [None], [None, ""], ["one"], texts, texts[:11], texts[11:], texts[::-1]):
+            assert memo(batch) == [want[t] for t in batch]
