@@ -37,10 +37,12 @@ class LibraryEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         tokenize, alphabet, others = self.tokenizer.model.tokenize, self.alphabet, []
+        space = alphabet[0x20]
         for k, t in enumerate(texts):
             word, stop = (t[:-1], self.stops[t[-1]]) if t[-1] in ".," else (t, b"")
             if word[1:].isalpha() and word[0] == " ":
-                out[k] = array("I", [x.id for x in tokenize(word.encode().decode("latin-1").translate(alphabet))]).tobytes() + stop
+                spelled = space + word[1:] if word.isascii() else word.encode().decode("latin-1").translate(alphabet)
+                out[k] = array("I", [x.id for x in tokenize(spelled)]).tobytes() + stop
             else:
                 others.append(k)
         for k, coded in zip(others, self.tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False)):
