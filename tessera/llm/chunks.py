@@ -19,13 +19,18 @@ import pyarrow.compute as pc
 MEMO_CHUNKS = 800_000
 
 
-def split(text: str) -> tuple[str, str | None] | None:
-    """The first chunk and, parted by spaces, the others without their leading space (those after a line feed keep it);
+#: All that Python holds for white space, some of which the pattern does not; so more is encoded whole, never less.
+SPACES = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+#: Found in a text that is encoded whole: white space at either end, of two characters, or other than a space or line feed.
+NOT_LONE = rf"\A[{SPACES}]|[{SPACES}][{SPACES}]|[{SPACES.replace(' ', '').replace(chr(10), '')}]|[{SPACES}]\z"
+
+
+def split(texts: list[str | None]) -> list[tuple[str, str | None] | None]:
+    """The first chunk of each and, parted by spaces, the others without their leading space (those after a line feed keep it);
     None: encode it whole."""
-    if not text or " ".join(text.split()) != text.replace("\n", " "):
-        return None
-    first, space, others = text.replace("\n", " \n").partition(" ")
-    return first, others if space else None
+    whole = pc.match_substring_regex(pa.array(texts, type=pa.large_string()), NOT_LONE).to_pylist()
+    parts = [t.replace("\n", " \n").partition(" ") if t and not w else None for t, w in zip(texts, whole)]
+    return [p and (p[0], p[2] if p[1] else None) for p in parts]
 
 
 class ChunkMemo:
@@ -38,7 +43,7 @@ class ChunkMemo:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.memo) > self.limit:
             self.memo.clear()
-        parts = [split(t) if t else None for t in texts]
+        parts = split(texts)
         lists = pc.split_pattern(pa.array([p[1] if p else None for p in parts], type=pa.large_string()), " ")
         flat = lists.flatten().dictionary_encode()
         one = pa.ListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table, text_batches
+from tessera.llm.common import Scratch, gathered, table, text_batches
 from tessera.llm.tokens import encoder
 
 #: Bytes of a stripe and rows of a row group, as the writer's options.
@@ -34,7 +34,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pos, end = encoder(tokenizer), 0, np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in gathered(batches):
             coded = [x + end for x in encode(batch.column(1).to_pylist())]
             counts = np.array([len(x) // 4 for x in coded], dtype=np.int64)
             stops = np.cumsum(counts)

@@ -1,13 +1,15 @@
 import random
 import zlib
+from functools import partial
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tessera.llm import token_files
-from tessera.llm.chunks import ChunkMemo
-from tessera.llm.common import Scratch
+from tessera.llm.chunks import ChunkMemo, split
+from tessera.llm.common import Scratch, gathered, text_batches
 from tessera.llm.tokens import LibraryEncoder
 from tests.llm.conftest import DOC_SCHEMA
 
@@ -66,6 +68,34 @@ def test_distinct_chunks_of_a_batch_are_looked_up_once():
         assert Counting.looked <= 8
 
 
+def test_small_batches_are_encoded_together(spark, monkeypatch):
+    """Neighbours up to a bound; before, each Arrow batch was encoded by itself, with its words looked up anew."""
+    assert [b.num_rows for b in gathered(iter([pa.RecordBatch.from_pydict({"x": pa.array([0] * n, pa.int64())}) for n in (2, 3, 9, 1, 0, 1)]), 40)] == [5, 9, 2]
+    assert list(gathered(iter([]))) == []
+    text_batches(spark, 1)
+    texts = ["one more time", None, "", "again  one", "\u6f22 more\ntime", "last"]
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(token_files, "gathered", partial(gathered, limit=size))
+        scratch = Scratch(spark)
+        token_files.write(spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOC_SCHEMA), scratch.path("t"), PATH)
+        stored = token_files.with_start(token_files.read(spark, scratch.path("t")), ["doc_id", "ids"]).orderBy("doc_id").collect()
+        assert [list(r.ids) for r in stored] == [[*library(t), 0] for t in texts]
+        assert [r.start for r in stored] == [sum(len(library(t)) + 1 for t in texts[:k]) for k in range(len(texts))]
+        scratch.drop()
+    text_batches(spark)
+
+
+def test_only_texts_with_lone_spaces_and_line_feeds_are_cut():
+    """As comparing their words one by one decides, which is what found them before."""
+    rnd = random.Random(3)
+    marks = ["a", "\u6f22", ".", "\u180e", "\u200b", " ", " ", "\n", *filter(str.isspace, map(chr, range(0x3001)))]
+    texts = ["".join(rnd.choice(marks[:rnd.choice([8, 37])]) for _ in range(rnd.randrange(12))) for _ in range(5000)]
+    texts += [a + s + b for s in marks for a in ("", "a", " ") for b in ("", "a", "\n")]
+    cut = [p is not None for p in split([None, *texts])]
+    assert cut == [False, *(bool(t) and " ".join(t.split()) == t.replace("\n", " ") for t in texts)]
+    assert 200 < sum(cut) < 5000
+
+
 def test_chunks_of_any_batch_as_the_library():
     rnd, coder = random.Random(7), LibraryEncoder(PATH)
     parts = ["word", "Über.", "don't", "3.14", "\u6f22\u5b57,", "a", "<|endoftext|>", "x.", "...", "\x85", "\xa0y", "\x1cz"]
