@@ -273,11 +273,12 @@ def pack(df: DataFrame, tokenizer: str, scratch: Scratch, end_id: int = 0, capac
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = scratch.write(_pieces(docs, tokenizer, end_id, capacity), "pieces")
-    held = scratch.write(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "held")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         counts[r.length] = r.n
     plan = places(solve(counts, capacity))
+    # counted anew rather than stored: a file for each shuffle partition costs more than two narrow columns read twice
+    held = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = held.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     # a row per length and file, which grows with the table: never sent to the driver or to all executors
     ranked = pieces.join(before.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))

@@ -1,4 +1,5 @@
 import itertools
+import pathlib
 import random
 import zlib
 
@@ -112,5 +113,21 @@ def test_pack(spark, docs_rows):
     assert len(by_seq) == -(-total // 512)
 
 
+def test_files_are_as_many_as_the_input_has_partitions(spark):
+    """None for each shuffle partition: on a local disk each file made is a process that the executor starts."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("40", "false")):
+            spark.conf.set(n, v)
+        docs = spark.createDataFrame([(i, "word " * (i % 50), "en", "a", 1) for i in range(300)], DOC_SCHEMA).repartition(3)
+        scratch = Scratch(spark)
+        assert packing.pack(docs, PATH, scratch).count() == 300
+        assert len(list(pathlib.Path(scratch.root.removeprefix("file://")).rglob("part-*.parquet"))) == 3
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], DOC_SCHEMA), PATH, Scratch(spark)).count() == 0
